@@ -6,24 +6,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, quality, url_filter
+from . import byte_bpe, exact_dedup, packing, quality, token_shards, url_filter
 from .common import read_table
 
-OWN_PRE_TOKENS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_shards.write_token_shards(read_table(spark, sf_dir, "documents"), BYTE_VOCABULARY, end_id=2)
+    return token_shards.read_token_shards(shards)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.bpe_round_trip(read_table(spark, sf_dir, "documents"), OWN_PRE_TOKENS)
+    return byte_bpe.bpe_round_trip(read_table(spark, sf_dir, "documents"), RANKS)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(read_table(spark, sf_dir, "pages")).drop("pattern")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=1, limit=4096)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(read_table(spark, sf_dir, "documents"))
     book = quality.apply_policy(book, quality.BASE, column="base_passed")
@@ -31,4 +42,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_passed")).alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_byte_bpe, op6_url_filter, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_shards, op5_byte_bpe, op6_url_filter, op7_best_fit_packing, op9_quality_rules)}
