@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, quality, token_shards, url_filter
+from . import byte_bpe, exact_dedup, packing, quality, token_shards, toxicity, url_filter
 from .common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -23,6 +23,10 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_token_shards(shards)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_round_trip(read_table(spark, sf_dir, "documents"), RANKS)
 
@@ -42,4 +46,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_passed")).alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_shards, op5_byte_bpe, op6_url_filter, op7_best_fit_packing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_shards, op4_toxicity, op5_byte_bpe, op6_url_filter, op7_best_fit_packing, op9_quality_rules)}
