@@ -39,7 +39,7 @@ WORD_SLOTS, GRAM_SLOTS = 1 << 13, 1 << 15
 GRAMS = (3, 4, 5)
 EPOCHS, BATCH, RATE = 6, 512, 0.01
 #: Steps that a small sample is trained for at least.
-LEAST_STEPS = 240
+LEAST_STEPS = 120
 #: Words whose input projections a worker remembers.
 REMEMBERED = 150_000
 
@@ -197,7 +197,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     if not every:
         return net
     epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(every)))
-    heavy = min(8.0, max(1.0, labels.count(0) / max(1, labels.count(1))))
+    heavy = min(2.0, max(1.0, labels.count(0) / max(1, labels.count(1))))
     top: dict[int, set[tuple[int, int]]] = {}
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
@@ -210,7 +210,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
             at, mask = _grid(places, own)
             used, at = np.unique(at, return_inverse=True)
             y = np.array([labels[d] for d, _ in own], np.float32)
-            grads = net.gradients([vocabulary[i] for i in used.tolist()], at.reshape(mask.shape), mask, y, np.where(y > 0, heavy if epoch else 1.0, 1.0).astype(np.float32))
+            grads = net.gradients([vocabulary[i] for i in used.tolist()], at.reshape(mask.shape), mask, y, np.where(y > 0, heavy, 1.0).astype(np.float32))
             step += 1
             for k, v in grads.items():
                 first, second = m[k]
