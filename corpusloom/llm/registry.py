@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, quality, token_shards, toxicity, url_filter
+from . import byte_bpe, exact_dedup, jaccard_join, packing, quality, token_shards, toxicity, url_filter
 from .common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,6 +39,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), WORD_VOCABULARY, end_id=1, limit=4096)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), percent=90, width=3).drop("class_id")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(read_table(spark, sf_dir, "documents"))
     book = quality.apply_policy(book, quality.BASE, column="base_passed")
@@ -46,4 +50,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_passed")).alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_shards, op4_toxicity, op5_byte_bpe, op6_url_filter, op7_best_fit_packing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_shards, op4_toxicity, op5_byte_bpe, op6_url_filter, op7_best_fit_packing, op8_jaccard_join, op9_quality_rules)}
