@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard_join, packing, quality, token_shards, toxicity, url_filter
+from . import byte_bpe, exact_dedup, jaccard_join, packing, quality, suffix_dedup, token_shards, toxicity, url_filter
 from .common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,4 +50,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_passed")).alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_shards, op4_toxicity, op5_byte_bpe, op6_url_filter, op7_best_fit_packing, op8_jaccard_join, op9_quality_rules)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), length=100, digest=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_shards, op4_toxicity, op5_byte_bpe, op6_url_filter, op7_best_fit_packing, op8_jaccard_join, op9_quality_rules, op10_suffix_dedup)}
