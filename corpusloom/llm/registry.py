@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard_join, packing, quality, suffix_dedup, token_shards, toxicity, url_filter
-from .common import read_table
+from . import byte_bpe, compaction, exact_dedup, jaccard_join, packing, quality, suffix_dedup, token_shards, toxicity, url_filter
+from .common import read_table, shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +25,11 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_token_shards(shards)
 
 
+def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = compaction.shard_documents(read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
+    return compaction.shard_contents(store)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -55,4 +62,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_shards, op4_toxicity, op5_byte_bpe, op6_url_filter, op7_best_fit_packing, op8_jaccard_join, op9_quality_rules, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_shards, op3_compaction, op4_toxicity, op5_byte_bpe, op6_url_filter, op7_best_fit_packing, op8_jaccard_join, op9_quality_rules, op10_suffix_dedup)}

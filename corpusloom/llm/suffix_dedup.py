@@ -412,7 +412,7 @@ def _repeats(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
 # -- cutting --------------------------------------------------------------------
 
 
-def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], digest: bool, characters: bool) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by block and part: the spans of a block, then the block."""
     now, spans = None, []
     for b in batches:
@@ -434,7 +434,10 @@ def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordB
                 if gone:
                     edges = [0, *(e for s in gone for e in s), len(text)]
                     text = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
-                rows.append((i, z - a, z - a - len(text), len(gone), hashlib.sha256(text).hexdigest() if digest else None, None if digest else text, own.extras[d]))
+                left = len(text)
+                if gone and characters:
+                    text = text.decode("utf-8", "ignore").encode()
+                rows.append((i, z - a, z - a - left, len(gone), hashlib.sha256(text).hexdigest() if digest else None, None if digest else text, own.extras[d]))
             for a in range(0, len(rows), 512):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 512]), _OUT)], schema=_OUT)
 
@@ -443,10 +446,11 @@ _OUT_DDL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 str
 _OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("carried", pa.string())])
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, digest: bool = False, carry=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, digest: bool = False, characters: bool = False, carry=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, n_bytes, n_removed, n_spans, kept (bytes; with ``digest`` kept_sha256), carried.
 
-    ``carry`` is a string column that comes back with its row.
+    ``carry`` is a string column that comes back with its row.  With ``characters``
+    parts of a character that a cut leaves go too, so ``kept`` is UTF-8.
     """
     if length < 8:
         raise ValueError("length must be 8 or more")
@@ -462,5 +466,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, digest: bool = False, car
     spans = records.repartition(n, "key").sortWithinPartitions("key").mapInArrow(partial(_sort, length=length), "block long, doc_at int, lo int, hi int")
     null = lambda kind: F.lit(None).cast(kind)
     both = spans.select("block", F.lit(0).alias("part"), "doc_at", "lo", "hi", null("binary").alias("payload")).union(blocks.select("block", F.lit(1).alias("part"), null("int").alias("doc_at"), null("int").alias("lo"), null("int").alias("hi"), "payload"))
-    out = both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(partial(_cut, digest=digest), _OUT_DDL)
+    out = both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(partial(_cut, digest=digest, characters=characters), _OUT_DDL)
     return out.withColumnRenamed("id", id_col)

@@ -270,10 +270,11 @@ class Scorer:
 _scorers: dict[int, tuple[object, Scorer]] = {}
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, rate: float) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model, rate: float, text: str, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Scores beside the identifier, or with ``whole`` beside all columns of the row."""
     scorer = None
     for b in batches:
-        texts = b.column(1).to_pylist()
+        texts = b.column(b.schema.get_field_index(text)).to_pylist()
         if model is None:
             scores = np.full(len(texts), rate)
         else:
@@ -287,7 +288,8 @@ def _score(batches: Iterator[pa.RecordBatch], model, rate: float) -> Iterator[pa
                     _scorers[key] = (params, Scorer(net))
                 scorer = _scorers[key][1]
             scores = scorer.score(texts)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=[b.schema.names[0], "score"])
+        columns = b.columns if whole else [b.column(0)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*b.schema.names[: len(columns)], "_score"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> list:
@@ -308,14 +310,28 @@ def held_out(id_column):
     return F.crc32(id_column.cast("string").cast("binary")) % 5 == 0
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: id, held_out, score, predicted (1 from a score of 0.5)."""
-    spark = tune(docs.sparkSession)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple:
+    """The broadcast parameters (None without labels of both classes) and the score to give without them."""
     sample = training_rows(docs, labels, id_col, text_col)
     toxic = [t for _, t in sample]
-    model, rate = None, 0.5 * (sum(toxic) / len(toxic) if toxic else 0.0)
-    if len(set(toxic)) == 2:
-        model = spark.sparkContext.broadcast(train([t for t, _ in sample], toxic).p)
+    if len(set(toxic)) < 2:
+        return None, 0.5 * (sum(toxic) / len(toxic) if toxic else 0.0)
+    return docs.sparkSession.sparkContext.broadcast(train([t for t, _ in sample], toxic).p), 0.0
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``_score``; only the text is scored."""
+    tune(docs.sparkSession)
+    model, rate = fit(docs, labels, id_col, text_col)
+    schema = docs.select(*docs.columns).schema.add("_score", "double")
+    return docs.mapInArrow(partial(_score, model=model, rate=rate, text=text_col, whole=True), schema)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row: id, held_out, score, predicted (1 from a score of 0.5)."""
+    tune(docs.sparkSession)
+    model, rate = fit(docs, labels, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"))
-    scored = rows.mapInArrow(partial(_score, model=model, rate=rate), f"{id_col} long, score double")
-    return scored.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(partial(_score, model=model, rate=rate, text="_text", whole=False), f"{id_col} long, _score double")
+    score = F.col("_score")
+    return scored.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
