@@ -13,25 +13,52 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces and parts that a worker remembers.
-PIECES = 250_000
-PARTS = 150_000
+#: Entries in the young half of a cache of pieces and of parts of pieces.
+PIECES, PARTS = 350_000, 250_000
 #: White space beyond ASCII, and separators on which libraries differ.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 #: Runs of white space, or white space other than blanks and newlines between words.
 _RUNS = re.compile(r"[ \n][ \n]|[\t\r\v\f]|\A[ \n]|[ \n]\Z")
 _PIECE = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+_STOPS = frozenset(".,;:!?")
 
 
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def byte_letters() -> dict[int, str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, others follow from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
+class Remembered(dict):
+    """A cache of two generations: entries that aren't asked for again are forgotten."""
+
+    def __init__(self, make, young: int):
+        super().__init__()
+        self.make, self.young, self.old = make, young, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def age(self) -> None:
+        if len(self) > self.young:
+            self.old = dict(self)
+            self.clear()
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    ``spaced`` says that a blank belongs to the word after it (byte-level
-    vocabularies); else white space only separates.
+    A vocabulary without a normaliser is byte-level: a blank belongs to the word
+    after it.  With others white space only separates.
     """
 
     def __init__(self, path: str):
@@ -39,48 +66,46 @@ class Encoder:
         self.whole.encode_special_tokens = True
         self.spaced = self.whole.normalizer is None
         normaliser, before, model = self.whole.normalizer, self.whole.pre_tokenizer, self.whole.model
-
-        class Parts(dict):
-            def __missing__(self, part: str) -> bytes:
-                self[part] = ids = _packed([t.id for t in model.tokenize(part)])
-                return ids
-
-        self.parts = parts = Parts()
+        letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
+        self.parts = parts = Remembered(lambda part: _packed([t.id for t in model.tokenize(part)]), PARTS)
 
         def piece(text: str) -> bytes:
-            text = normaliser.normalize_str(text) if normaliser is not None else text
+            if normaliser is not None:
+                text = normaliser.normalize_str(text)
             return b"".join([parts[p] for p, _ in before.pre_tokenize_str(text)])
 
-        self.piece = piece
-
-        class Pieces(dict):
-            def __missing__(self, text: str) -> bytes:
-                self[text] = ids = piece(text)
-                return ids
-
-        class AfterBlank(dict):
-            def __missing__(self, text: str) -> bytes:
-                self[text] = ids = piece(text if text[0] == "\n" else " " + text)
-                return ids
+        def word(text: str) -> bytes:
+            """A piece of letters, and a mark at most, is cut as the pre-tokeniser would."""
+            end = ""
+            if text[-1] in _STOPS:
+                text, end = text[:-1], text[-1]
+            if not text.isalpha():
+                return piece(text + end if text[:1] == "\n" or not self.spaced else " " + text + end)
+            if not self.spaced:
+                text = normaliser.normalize_str(text)
+                if not text.isalpha():
+                    return piece(text + end)
+            if not text.isascii():
+                text = text.encode().decode("latin-1").translate(letters)
+            ids = parts["Ġ" + text if self.spaced else text]
+            return ids + parts[end] if end else ids
 
-        self.pieces, self.after_blank = Pieces(), AfterBlank()
+        self.piece = piece
+        self.pieces, self.words = Remembered(piece, PIECES), Remembered(word, PIECES)
 
     def encode(self, text: str) -> bytes:
-        if len(self.pieces) + len(self.after_blank) > PIECES:
-            self.pieces.clear()
-            self.after_blank.clear()
-        if len(self.parts) > PARTS:
-            self.parts.clear()
+        for cache in (self.pieces, self.words, self.parts):
+            cache.age()
         if not text:
             return b""
         if _ODD.search(text):
             return _packed(self.whole.encode(text, add_special_tokens=False).ids)
         if not self.spaced:
-            return b"".join(map(self.pieces.__getitem__, text.split()))
+            return b"".join(map(self.words.__getitem__, text.split()))
         if _RUNS.search(text):
             return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
         first, *rest = text.replace("\n", " \n").split(" ")
-        return self.piece(first) + b"".join(map(self.after_blank.__getitem__, rest))
+        return self.piece(first) + b"".join(map(self.words.__getitem__, rest))
 
 
 _encoders: dict[str, Encoder] = {}
