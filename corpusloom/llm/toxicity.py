@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import tune
 
 #: Bounds of the training sample: texts of each class, characters of each text.
-SAMPLE_TEXTS, SAMPLE_CHARS = 800, 5000
+SAMPLE_TEXTS, SAMPLE_CHARS = 1200, 5000
 #: Words in a window and words between the starts of windows.
 WINDOW, STRIDE = 32, 16
 HIDDEN, WIDTH = 8, 12
