@@ -49,7 +49,8 @@ SHALLOW = 16
 _BLOCK_DDL = "block long, payload binary"
 _ROW_DDL = "key long, doc long, uid long, lo int, delta int, bytes binary"
 _ROW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("uid", pa.int64()), ("lo", pa.int32()), ("delta", pa.int32()), ("bytes", pa.binary())])
-_SPAN = pa.schema([("block", pa.int64()), ("doc_at", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32())])
+#: Spans of a block: triples of 32-bit document, start and end.
+_SPAN = pa.schema([("block", pa.int64()), ("spans", pa.binary())])
 
 
 # -- blocks ---------------------------------------------------------------------
@@ -373,7 +374,13 @@ def _sort(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordB
 
 
 def _spans(uid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(uid >> 20, pa.int64()), pa.array((uid & 0xFFFFF).astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], schema=_SPAN)
+    """Spans as one value for each block."""
+    order = np.argsort(uid, kind="stable")
+    block = (uid >> 20)[order]
+    triples = np.stack([uid & 0xFFFFF, lo, hi], 1).astype("<i4")[order]
+    first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    stop = np.append(first[1:], len(block))
+    return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int64()), pa.array([triples[x:y].tobytes() for x, y in zip(first, stop)], pa.binary())], schema=_SPAN)
 
 
 def _repeats(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
@@ -416,16 +423,16 @@ def _cut(batches: Iterator[pa.RecordBatch], digest: bool, characters: bool) -> I
     """Of rows sorted by block and part: the spans of a block, then the block."""
     now, spans = None, []
     for b in batches:
-        for block, part, doc, lo, hi, payload in zip(*(c.to_pylist() for c in b.columns)):
+        for block, part, payload in zip(*(c.to_pylist() for c in b.columns)):
             if block != now:
                 now, spans = block, []
             if part == 0:
-                spans.append((doc, lo, hi))
+                spans.append(np.frombuffer(payload, "<i4").reshape(-1, 3).astype(np.int64))
                 continue
             own = Block(payload)
             cut: dict[int, list[tuple[int, int]]] = {}
             if spans:
-                for d, x, y in zip(*(v.tolist() for v in _merged(*(np.array(v, np.int64) for v in zip(*spans))))):
+                for d, x, y in zip(*(v.tolist() for v in _merged(*np.concatenate(spans).T))):
                     cut.setdefault(d, []).append((x, y))
             raw = own.text.tobytes()
             rows = []
@@ -463,8 +470,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, digest: bool = False, cha
     known = hashes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "block long, part int, a binary, b binary")
     both = known.union(blocks.select("block", F.lit(1).alias("part"), F.col("payload").alias("a"), F.lit(None).cast("binary").alias("b")))
     records = both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(partial(_records, length=length), _ROW_DDL)
-    spans = records.repartition(n, "key").sortWithinPartitions("key").mapInArrow(partial(_sort, length=length), "block long, doc_at int, lo int, hi int")
-    null = lambda kind: F.lit(None).cast(kind)
-    both = spans.select("block", F.lit(0).alias("part"), "doc_at", "lo", "hi", null("binary").alias("payload")).union(blocks.select("block", F.lit(1).alias("part"), null("int").alias("doc_at"), null("int").alias("lo"), null("int").alias("hi"), "payload"))
+    spans = records.repartition(n, "key").sortWithinPartitions("key").mapInArrow(partial(_sort, length=length), "block long, spans binary")
+    both = spans.select("block", F.lit(0).alias("part"), F.col("spans").alias("payload")).union(blocks.select("block", F.lit(1).alias("part"), "payload"))
     out = both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(partial(_cut, digest=digest, characters=characters), _OUT_DDL)
     return out.withColumnRenamed("id", id_col)
