@@ -13,6 +13,76 @@ from ..functions import vectors as V
 
 #: Rows of a group up to which the whole distance structure is built in one task.
 LARGEST_GROUP = 20_000
+#: Rows of a block when all rows meet all rows.
+BLOCK = 4_096
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1)
+
+
+def block_pairs(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Each row once for every pair of blocks (``_i`` <= ``_j``) that its own block ``_own`` is in."""
+    own = rows.withColumn("_own", F.pmod(F.xxhash64(key), blocks).cast("int"))
+    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), blocks.cast("int") - 1)))
+    return dealt.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_other")
+
+
+def _part_of(pdf: pd.DataFrame) -> int:
+    """The number of a pair of blocks."""
+    i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
+    return j * (j + 1) // 2 + i
+
+
+def _lowest(a: np.ndarray, b: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The smallest place that each place reaches over the links ``a``, ``b`` and what ``low`` has so far."""
+    while True:
+        x, y = low[a], low[b]
+        open_ = x != y
+        if not open_.any():
+            return low
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(low, low[low]):
+            low = low[low]
+
+
+def similar_links(df: DataFrame, key: str, vector: str, above: float, block: int | None = None) -> DataFrame:
+    """(a, b): links that connect the same rows as all pairs of cosine similarity over ``above`` do.
+
+    Every row meets every other, in pairs of blocks.  A pair of blocks gives a star
+    for each of its connected parts, so links don't grow with the similar pairs.
+    """
+    kind = dict(df.dtypes)[key]
+    rows = df.select(key, F.col(vector).alias("_v")).where(V.valid_vector(F.col("_v")))
+    blocks = -(-max(rows.count(), 1) // (block or BLOCK))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        x, own, keys = unit_rows(np.array(pdf["_v"].tolist(), float)), pdf["_own"].to_numpy(), pdf[key].to_numpy()
+        left, right = (np.flatnonzero(own == pdf[c].iloc[0]) for c in ("_i", "_j"))
+        low = np.arange(len(x))
+        for at in range(0, len(left), 512):
+            here = left[at : at + 512]
+            a, b = np.nonzero(x[here] @ x[right].T > above)
+            low = _lowest(here[a], right[b], low)
+        return stars(keys, low, _part_of(pdf))
+
+    def stars(keys: np.ndarray, low: np.ndarray, part: int) -> pd.DataFrame:
+        linked = np.flatnonzero(low != np.arange(len(low)))
+        return pd.DataFrame({"_part": np.full(len(linked), part), "a": keys[low[linked]], "b": keys[linked]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
+        return stars(keys, _lowest(at[: len(pdf)], at[len(pdf) :], np.arange(len(keys))), pdf["_part"].iloc[0])
+
+    schema = f"_part int, a {kind}, b {kind}"
+    links, parts = block_pairs(rows, key, F.lit(blocks)).groupBy("_i", "_j").applyInPandas(run, schema), blocks * (blocks + 1) // 2
+    while parts > 3:  # a part has fewer links than there are rows
+        parts = -(-parts // 4)
+        links = links.withColumn("_part", F.col("_part") % parts).groupBy("_part").applyInPandas(merge, schema)
+    return links.select("a", "b")
 
 
 def single_linkage(x: np.ndarray) -> list[tuple[float, int, int]]:

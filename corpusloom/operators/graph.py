@@ -85,6 +85,12 @@ def _checkpointing(df: DataFrame) -> bool:
     return True
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared checkpoint folder."""
+    _checkpointing(df)
+    return df.checkpoint()
+
+
 def shortest_paths(edges: DataFrame, most_steps: int = 30) -> DataFrame:
     """(a, b, d): hops between connected nodes, by joining the frontier with the edges.
 

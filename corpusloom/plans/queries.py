@@ -496,18 +496,10 @@ def hashed_embeddings(spark, d):
     return cluster.hashing_embedder(A.articles(spark, d), "id", "body")
 
 
-def _near(spark, d):
-    e = A.table(spark, d, "embeddings").select("vec_id", "embedding")
-    signs = F.explode(F.array(*(F.concat(F.lit(f"{k}:"), *(F.when(F.element_at("embedding", 8 * k + j + 1) > 0, "1").otherwise("0") for j in range(8))) for k in range(8))))
-    keyed = e.select("vec_id", "embedding", signs.alias("band"))
-    pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.vec_id") < F.col("y.vec_id")))
-    near = pairs.where(V.cosine_similarity(F.col("x.embedding"), F.col("y.embedding")) > 0.35)
-    return e, near.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b")).distinct().withColumn("weight", F.lit(1))
-
-
 @query
 def single_linkage_components(spark, d):
-    e, near = _near(spark, d)
+    e = A.table(spark, d, "embeddings")
+    near = graph.materialise(cluster.similar_links(e, "vec_id", "embedding", 0.35))
     return graph.connected_components(e.select(F.col("vec_id").alias("node")), near)
 
 
