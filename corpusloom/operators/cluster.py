@@ -85,21 +85,47 @@ def similar_links(df: DataFrame, key: str, vector: str, above: float, block: int
     return links.select("a", "b")
 
 
-def single_linkage(x: np.ndarray) -> list[tuple[float, int, int]]:
-    """Edges (distance, a, b) of a minimum spanning tree under cosine distance, by Prim's algorithm."""
-    size = np.linalg.norm(x, axis=1, keepdims=True)
-    unit = x / np.where(size > 0, size, 1)
+def single_linkage(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (distance, a, b), a < b, of the minimum spanning tree under cosine distance, by Prim's algorithm.
+
+    Distances count to 12 digits and equal ones by their ends, so there is one such tree.
+    """
+    unit = unit_rows(x)
     n = len(x)
-    best, parent, inside = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
+    places = np.arange(n)
+    best, ends, inside = np.full(n, np.inf), np.full(n, n * n), np.zeros(n, bool)
     at, out = 0, []
     for _ in range(n - 1):
         inside[at] = True
-        d = 1 - unit @ unit[at]
-        closer = ~inside & (d < best)
-        best[closer], parent[closer] = d[closer], at
-        at = int(np.where(inside, np.inf, best).argmin())
-        out.append((float(best[at]), int(parent[at]), at))
-    return sorted(out)
+        d = np.round(1 - unit @ unit[at], 12) + 0.0
+        own = np.minimum(places, at) * n + np.maximum(places, at)
+        closer = ~inside & ((d < best) | ((d == best) & (own < ends)))
+        best[closer], ends[closer] = d[closer], own[closer]
+        left = np.where(inside, np.inf, best)
+        ties = np.flatnonzero(left == left.min())
+        at = int(ties[ends[ties].argmin()])
+        out.append((best[at], ends[at]))
+    return _in_order(*(np.array(c) for c in ([d for d, _ in out], [e // n for _, e in out], [e % n for _, e in out])))
+
+
+def _in_order(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a, d))
+    return d[order], a[order], b[order]
+
+
+def spanning_forest(n: int, d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges that Kruskal's algorithm keeps, in order."""
+    d, a, b = _in_order(d, a, b)
+    top, kept = list(range(n)), []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        while top[y] != y:
+            top[y] = y = top[top[y]]
+        if x != y:
+            top[x] = y
+            kept.append(k)
+    return d[kept], a[kept], b[kept]
 
 
 def density_labels(x: np.ndarray, least: int) -> np.ndarray:
@@ -107,9 +133,13 @@ def density_labels(x: np.ndarray, least: int) -> np.ndarray:
 
     With one sample per core the mutual reachability is the distance itself.
     """
-    n = len(x)
-    if n < max(2, least):
-        return np.full(n, -1)
+    if len(x) < max(2, least):
+        return np.full(len(x), -1)
+    return tree_labels(len(x), *single_linkage(x), least)
+
+
+def tree_labels(n: int, d_: np.ndarray, a_: np.ndarray, b_: np.ndarray, least: int) -> np.ndarray:
+    """``density_labels`` from the edges of the minimum spanning tree, in order."""
     top = list(range(n))  # tree node of each set
     children, height, size = {}, {}, {i: 1 for i in range(n)}
 
@@ -119,7 +149,7 @@ def density_labels(x: np.ndarray, least: int) -> np.ndarray:
             i = top[i]
         return i
 
-    for d, a, b in single_linkage(x):
+    for d, a, b in zip(d_.tolist(), a_.tolist(), b_.tolist()):
         a, b, k = find(a), find(b), len(top)
         top.append(k)
         top[a] = top[b] = k
@@ -177,26 +207,57 @@ def density_labels(x: np.ndarray, least: int) -> np.ndarray:
 
 
 def density_clusters(df: DataFrame, key: str, vector: str, group: Column, prefix: str, least: int) -> DataFrame:
-    """(key, group, cluster_id): clusters inside each group, named by their smallest key; null is noise.
+    """(key, group, cluster_id): clusters inside each group, named by their smallest key; null is noise.  Keys are unique.
 
     Rows without a valid vector or group are noise.  A group above ``LARGEST_GROUP``
-    is cut by the signs of fixed projections, so no task holds more than its share.
+    is cut into blocks.  The tree of each pair of blocks is built in its own task; the
+    tree of the group lies within these, and merging them drops the other edges.  Its
+    labels are then made in one task from as many edges as the group has rows.
     """
     rows = df.select(key, group.cast("string").alias("_group"), F.col(vector).alias("_v"))
     good = rows.where(V.valid_vector(F.col("_v")) & F.col("_group").isNotNull())
-    sizes = good.groupBy("_group").agg(F.ceil(F.log2(F.greatest(F.count(F.lit(1)) / LARGEST_GROUP, F.lit(1.0)))).cast("int").alias("_bits"))
-    signs = F.concat(*(F.when(F.lit(k) < F.col("_bits"), F.when(F.element_at("_v", k + 1) >= 0, "1").otherwise("0")).otherwise("") for k in range(16)))
-    dealt = good.join(sizes, "_group").select(key, "_group", signs.alias("_cell"), "_v")
+    n = F.count(F.lit(1))
+    sizes = good.groupBy("_group").agg(F.when(n > LARGEST_GROUP, F.ceil(n / BLOCK)).otherwise(1).cast("int").alias("_blocks"))
+    most = sizes.agg(F.max("_blocks")).first()[0] or 1
+    dealt = good.join(sizes, "_group")
     kind = dict(df.dtypes)[key]
+    schema = f"{key} {kind}, group string, cluster_id string"
+
+    def named(keys: np.ndarray, where: str, labels: np.ndarray) -> pd.DataFrame:
+        names = pd.Series(keys).groupby(labels).min()
+        return pd.DataFrame({key: keys, "group": where, "cluster_id": [None if k < 0 else f"{prefix}_{where}__{names[k]}" for k in labels]})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        labels = density_labels(np.array(pdf["_v"].tolist(), float), least)
-        names = pd.Series(pdf[key].to_numpy()).groupby(labels).min()
-        where = f"{prefix}_{pdf['_group'].iloc[0]}"
-        return pd.DataFrame({key: pdf[key].to_numpy(), "group": pdf["_group"].to_numpy(), "cluster_id": [None if k < 0 else f"{where}__{names[k]}" for k in labels]})
+        return named(pdf[key].to_numpy(), pdf["_group"].iloc[0], density_labels(np.array(pdf["_v"].tolist(), float), least))
 
-    found = dealt.groupBy("_group", "_cell").applyInPandas(run, f"{key} {kind}, group string, cluster_id string")
+    def edges(pdf: pd.DataFrame, keys: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, part: int) -> pd.DataFrame:
+        return pd.DataFrame({"_group": np.full(len(d), pdf["_group"].iloc[0]), "_part": np.full(len(d), part), "d": d, "a": keys[a], "b": keys[b]})
+
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key)
+        return edges(pdf, pdf[key].to_numpy(), *single_linkage(np.array(pdf["_v"].tolist(), float)), _part_of(pdf))
+
+    def joined(pdf: pd.DataFrame) -> tuple:
+        keys, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
+        return keys, *spanning_forest(len(keys), pdf["d"].to_numpy(), at[: len(pdf)], at[len(pdf) :])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return edges(pdf, *joined(pdf), pdf["_part"].iloc[0])
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, *tree = joined(pdf)
+        return named(keys, pdf["_group"].iloc[0], tree_labels(len(keys), *tree, least))
+
+    found = dealt.where("_blocks = 1").groupBy("_group").applyInPandas(run, schema)
+    if most > 1:
+        links = f"_group string, _part int, d double, a {kind}, b {kind}"
+        pairs = block_pairs(dealt.where("_blocks > 1"), key, F.col("_blocks")).where("_i < _j")  # these hold all pairs of rows
+        trees, parts = pairs.groupBy("_group", "_i", "_j").applyInPandas(pair, links), most * (most + 1) // 2
+        while parts > 4:
+            parts = -(-parts // 4)
+            trees = trees.withColumn("_part", F.col("_part") % parts).groupBy("_group", "_part").applyInPandas(merge, links)
+        found = found.unionByName(trees.groupBy("_group").applyInPandas(label, schema))
     noise = rows.where(~F.coalesce(V.valid_vector(F.col("_v")) & F.col("_group").isNotNull(), F.lit(False))).select(key, F.col("_group").alias("group"), F.lit(None).cast("string").alias("cluster_id"))
     return found.unionByName(noise)
 

@@ -57,3 +57,17 @@ def test_similar_links_in_blocks(spark, block):
     keys2, x2 = few + [k + 1000 for k in few if k < 9], np.concatenate([x[: len(few)], x[: len([k for k in few if k < 9])]])
     got = [(r["a"], r["b"]) for r in cluster.similar_links(rows, "vec_id", "embedding", 0.3, block).collect()]
     assert parts_of(keys2, got) == parts_of(keys2, links_of(keys2, x2, 0.3))
+
+
+# -- density clusters ------------------------------------------------------------
+
+
+def test_large_groups_are_clustered_whole(spark, monkeypatch):
+    g = np.random.default_rng(5)
+    x = np.concatenate([c + g.normal(0, 0.05, (40, 6)) for c in g.normal(0, 1, (6, 6))] + [g.normal(0, 1, (50, 6)), np.tile(g.normal(0, 1, 6), (30, 1))])
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], "hot" if i % 3 else "cold") for i in g.permutation(len(x)).tolist()], "k long, v array<double>, g string")
+    labels = lambda: {r["k"]: r["cluster_id"] for r in cluster.density_clusters(rows, "k", "v", F.col("g"), "c", 2).collect()}
+    want = labels()
+    monkeypatch.setattr(cluster, "LARGEST_GROUP", 120)
+    monkeypatch.setattr(cluster, "BLOCK", 45)
+    assert labels() == want and len(set(want.values())) > 5 and len(want) == len(x)
