@@ -573,12 +573,12 @@ def _tokens(spark, d):
 
 @query
 def word2vec(spark, d):
-    return models.word_vectors(_tokens(spark, d), "tokens", size=32)
+    return models.word_vectors(_tokens(spark, d), "tokens")
 
 
 @query
 def lda(spark, d):
-    return models.lda(models.term_matrix(_tokens(spark, d), "tokens")[0], "doc_id", 5, rounds=5)
+    return models.lda(models.tf_idf(models.term_matrix(_tokens(spark, d), "tokens", bigrams=True)[0]), "doc_id", 5, column="weights")
 
 
 @query
@@ -588,7 +588,7 @@ def lsa(spark, d):
 
 @query
 def nmf(spark, d):
-    return models.nmf(models.tf_idf(models.term_matrix(_tokens(spark, d), "tokens", most=300)[0]), "doc_id", 5, rounds=5)
+    return models.nmf(models.tf_idf(models.term_matrix(_tokens(spark, d), "tokens")[0]), "doc_id", 5)
 
 
 @query

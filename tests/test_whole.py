@@ -71,3 +71,39 @@ def test_large_groups_are_clustered_whole(spark, monkeypatch):
     monkeypatch.setattr(cluster, "LARGEST_GROUP", 120)
     monkeypatch.setattr(cluster, "BLOCK", 45)
     assert labels() == want and len(set(want.values())) > 5 and len(want) == len(x)
+
+
+# -- models ----------------------------------------------------------------------
+
+
+def test_word_vectors_of_reference_size(spark):
+    from corpusloom.operators import models
+
+    assert models.word_vectors.__defaults__ == (100, 5, 2, 10, 42)
+    rows = QUERIES["word2vec"](spark, SF)
+    assert rows.count() > 300 and rows.where(F.size("vector") != 100).isEmpty()
+
+
+def test_topic_models_of_reference_size(spark, monkeypatch):
+    from corpusloom.operators import models
+
+    seen = {}
+    for name in ("lda", "nmf"):
+        monkeypatch.setattr(models, name, lambda matrix, id_col, topics, name=name, **more: seen.update({name: (matrix, more)}))
+        QUERIES[name](spark, SF)
+    vocabulary = {name: matrix.schema["weights"].metadata.get("ml_attr", {}).get("num_attrs") or matrix.first()["weights"].size for name, (matrix, _) in seen.items()}
+    assert vocabulary["lda"] == 1000 and vocabulary["nmf"] > 300
+    assert seen["lda"][1] == {"column": "weights"} and seen["nmf"][1] == {}
+
+
+def test_nmf_runs_until_it_settles(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from corpusloom.operators import models
+
+    g = np.random.default_rng(1)
+    w = g.random((60, 3)) @ g.random((3, 20))
+    rows = spark.createDataFrame([(i, Vectors.dense(v)) for i, v in enumerate(w)], ["id", "weights"])
+    f = np.array([r["topics"] for r in models.nmf(rows, "id", 3).orderBy("id").collect()])
+    left = w - f @ np.linalg.lstsq(f, w, rcond=None)[0]
+    assert np.linalg.norm(left) < 0.06 * np.linalg.norm(w)
