@@ -91,7 +91,7 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def shortest_paths(edges: DataFrame, most_steps: int = 30) -> DataFrame:
+def shortest_paths(edges: DataFrame, most_steps: int = 1000) -> DataFrame:
     """(a, b, d): hops between connected nodes, by joining the frontier with the edges.
 
     The result has a row for each connected pair, so this is for graphs of modest size.
@@ -103,9 +103,9 @@ def shortest_paths(edges: DataFrame, most_steps: int = 30) -> DataFrame:
         step = known.where(F.col("d") == d - 1).select("a", F.col("b").alias("_at")).join(around.select(F.col("a").alias("_at"), "b"), "_at").select("a", "b").distinct()
         new = step.join(known, ["a", "b"], "left_anti").withColumn("d", F.lit(d)).checkpoint()
         if new.isEmpty():
-            break
-        known = known.union(new)
-    return known
+            return known
+        known = known.union(new).checkpoint() if d % 10 == 0 else known.union(new)
+    raise RuntimeError("paths did not end")
 
 
 def closeness_centrality(edges: DataFrame) -> DataFrame:
@@ -115,21 +115,21 @@ def closeness_centrality(edges: DataFrame) -> DataFrame:
     return far.join(n).select("node", F.round(1.0 * F.col("r") / F.col("total") * F.col("r") / (F.col("_n") - 1), 6).alias("closeness"))
 
 
-def eigenvector_centrality(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def eigenvector_centrality(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     """Power iteration on A + I; each round a join and a sum."""
     _checkpointing(edges)
     around = both_ways(edges).cache()
     x = nodes_of(edges).withColumn("x", F.lit(1.0))
-    for k in range(rounds):
+    for _ in range(rounds):
         pulled = around.join(x, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("x").alias("s"))
         y = x.join(pulled, F.col("node") == F.col("a")).select("node", F.col("x").alias("was"), (F.col("x") + F.col("s")).alias("y")).cache()
         size = y.agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("z")).first()["z"] or 1.0
         x = y.select("node", (F.col("y") / size).alias("x"), "was").checkpoint()
         y.unpersist()
         if (x.agg(F.max(F.abs(F.col("x") - F.col("was"))).alias("d")).first()["d"] or 0) < 1e-7:
-            break
+            return x.select("node", F.round("x", 6).alias("centrality"))
         x = x.select("node", "x")
-    return x.select("node", F.round("x", 6).alias("centrality"))
+    raise RuntimeError("centrality did not settle")
 
 
 def _whole(edges: DataFrame, run, schema: str) -> DataFrame:

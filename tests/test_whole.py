@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import QUERIES
-from corpusloom.operators import cluster
+from corpusloom.operators import cluster, graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -107,3 +107,15 @@ def test_nmf_runs_until_it_settles(spark):
     f = np.array([r["topics"] for r in models.nmf(rows, "id", 3).orderBy("id").collect()])
     left = w - f @ np.linalg.lstsq(f, w, rcond=None)[0]
     assert np.linalg.norm(left) < 0.06 * np.linalg.norm(w)
+
+
+# -- graph metrics ---------------------------------------------------------------
+
+
+def test_long_paths_and_limits(spark):
+    path = spark.createDataFrame([(k, k + 1, 1) for k in range(33)], "a int, b int, weight int").coalesce(1)
+    assert graph.shortest_paths(path).agg(F.max("d")).first()[0] == 33
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(path, 2)
+    with pytest.raises(RuntimeError):
+        graph.eigenvector_centrality(path, 2)
