@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-#: Rows in an Arrow batch: bounds a Python worker's memory when texts are long.
-BATCH_ROWS = 256
+#: Bytes of an Arrow batch that a Python worker receives: bounds its memory whatever the rows' length.
+BATCH_BYTES = 4 << 20
+#: Folders of sessions in one process without a shared folder, by application.
+_own: dict[str, str] = {}
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound the Arrow batches that Python workers receive."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the Arrow batches that Python workers receive by their bytes; row counts stay as set."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -27,12 +29,14 @@ def partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the setting is absent (local tests).
+    Where it is unset, a session in one process gets a folder of its own; any other must set it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and re.match(r"local(\[|$)", spark.sparkContext.master):
+        path = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="corpusloom-")
+        _own[spark.sparkContext.applicationId] = path
     if not path:
-        path = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return path.rstrip("/")
 
 
@@ -49,35 +53,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor re-reads the table, it does not
-    recompute it.  The table is removed when the process ends.
+    recompute it.  ``drop_table`` removes it; what is left goes when the process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def drop_table(spark: SparkSession, df: DataFrame) -> None:
-    """Remove a table made by ``materialise`` once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _remove(spark, path)
+def drop_table(*tables: DataFrame) -> None:
+    """Remove tables made by ``materialise`` once nothing reads them any more."""
+    for df in tables:
+        _remove(df.sparkSession, df._scratch)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores appended until no column has it (case apart)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
-def with_columns(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.RecordBatch:
-    """``batch`` with columns appended."""
-    return pa.RecordBatch.from_arrays(
-        [*batch.columns, *extra.values()], names=[*batch.schema.names, *extra.keys()]
-    )
 
+def col(df: DataFrame, name: str) -> Column:
+    """The column called ``name``, whatever characters the name has."""
+    quoted = name.replace("`", "``")
+    return df[f"`{quoted}`"]
 
-def rebatch(rows: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
-
-def nonempty(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return (b for b in batches if b.num_rows)
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_table, materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -14,25 +14,26 @@ def _least(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of (u, v) edges.
+    """(node, component): the smallest node reachable, for every node of (u, v) edges of longs.
 
     Every round is joins and minima over edges; nothing is gathered on the driver
-    but whether a round changed something.
+    but whether a round changed something.  Repeated edges and loops don't matter; no
+    edges give no rows.
     """
-    pairs = edges.select("u", "v").where("u <> v")
-    pairs = materialise(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    nodes = edges.select(F.col("u").alias("node")).union(edges.select(F.col("v").alias("node"))).distinct()
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    pairs = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     signature = None
     for _ in range(most_rounds):
-        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         small = _least(both).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.where("v < u")
-        low = _least(down)
-        pairs = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        pairs = materialise(pairs, "edges")
+        low = _least(large)
+        after = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        after = materialise(after, "edges")
+        drop_table(pairs)
+        pairs = after
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == signature:
+        if now == signature or not now[0]:
             break
         signature = now
     else:

@@ -47,7 +47,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), percent=90, width=3).drop("class_id")
+    return jaccard_join.jaccard_components(read_table(spark, sf_dir, "documents"), percent=90, width=3).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, jaccard_join, packing, suffix_dedup, toxicity
-from .common import materialise, read_table
+from .common import col, fresh, materialise, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,10 +34,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 5-word shingles at 0.8: that of the smallest doc_id."""
+    """One document of each group linked by 5-word shingles at 0.8: that of the smallest doc_id.
+
+    Documents without words stay, repeated rows of one that stays give one row.  A null doc_id is the
+    largest; no column of ``docs`` may clash, and an empty table gives an empty one.
+    """
     parts = jaccard_join.jaccard_components(docs, percent=80, width=5)
-    gone = parts.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.coalesce("doc_id", F.lit(-1)) == F.col("_id"), "left_anti")
+    kept = parts.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("size"))
+    kept = materialise(kept.where("not stays or (n > 1 and size > 0)"), "near-copies")
+    key, own = fresh("_key", docs.columns), fresh("_own", docs.columns)
+    rows = docs.withColumn(key, F.xxhash64(F.coalesce(col(docs, "text").cast("string"), F.lit("")))).withColumn(own, col(docs, "doc_id").cast("long"))
+    named = kept.select(F.col("doc_id").alias(own + "_"), F.col("text_hash").alias(key + "_"), "stays")
+    same = rows[key].eqNullSafe(named[key + "_"]) & rows[own].eqNullSafe(named[own + "_"])
+    rest = rows.join(named, same, "left_anti")
+    several = named.where("stays")
+    if not several.isEmpty():  # rows that repeat identifier and text
+        rest = rest.union(rows.join(several, same, "left_semi").dropDuplicates([key, own]))
+    return rest.drop(key, own)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
