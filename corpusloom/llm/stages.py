@@ -11,9 +11,14 @@ from .common import col, fresh, materialise, read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the network doesn't call toxic.  The score stays beside its row, so no join is needed."""
-    scored = toxicity.score_rows(docs, read_table(spark, sf_dir, "labels"))
-    return scored.where("_score < 0.5").drop("_score")
+    """Rows that the network doesn't call toxic.  The score stays beside its row, so no join is needed.
+
+    A null text is scored as an empty one; repeated rows fare alike; no column of ``docs`` may clash,
+    and an empty table gives an empty one.
+    """
+    score = fresh("_score", docs.columns)
+    scored = toxicity.score_rows(docs, read_table(spark, sf_dir, "labels"), score)
+    return scored.where(F.col(score) < 0.5).drop(score)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,12 +8,15 @@ belong to texts, so after the first epoch a toxic text teaches through the
 windows that score highest in it, and a clean text through all of its windows.
 
 The training sample is bounded (``SAMPLE_TEXTS`` for each class, of at most
-``SAMPLE_CHARS`` characters each); scoring covers every text whole.
+``SAMPLE_CHARS`` characters each) and taught in one task of an executor, from
+which the driver gets the parameters alone; scoring covers every text whole.
 
 Defined cases: a null text is empty; a text without words has one window of
-padding, which the model scores; a table without labels of both classes gives
-0.5 * the share of toxic ones to every text; repeated rows score alike; label,
-language, source and identifier are never inputs.
+padding, which the model scores; labels of one class only, or none, give 0.5 * the
+share of toxic ones to every text; repeated rows score alike; a null identifier
+stays null, is not held out and teaches nothing; an empty table gives an empty
+result; other columns, whatever their names, don't matter; label, language, source
+and identifier are never inputs.
 """
 
 from __future__ import annotations
@@ -21,14 +24,15 @@ from __future__ import annotations
 import string
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import tune
+from .common import col, materialise, tune
 
 #: Bounds of the training sample: texts of each class, characters of each text.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1200, 5000
@@ -38,6 +42,8 @@ HIDDEN, WIDTH = 8, 12
 WORD_SLOTS, GRAM_SLOTS = 1 << 13, 1 << 15
 GRAMS = (3, 4, 5)
 EPOCHS, BATCH, RATE = 6, 512, 0.01
+#: Windows that are scored at once.
+BATCH_SCORED = 2048
 #: Steps that a small sample is trained for at least.
 LEAST_STEPS = 120
 #: Words whose input projections a worker remembers.
@@ -191,41 +197,42 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
     """Fit the network to whole-text labels by Adam."""
     net, g = Network(seed), np.random.default_rng(seed)
     number: dict[bytes, int] = {}
-    places = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
+    places = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t in texts]
     vocabulary = list(number)
-    every = [(d, s) for d, p in enumerate(places) if len(p) for s in windows_of(len(p))]
-    if not every:
+    del number
+    starts = [windows_of(len(p)) if len(p) else [] for p in places]
+    text = np.repeat(np.arange(len(places), dtype=np.int32), [len(s) for s in starts])
+    start = np.array([x for s in starts for x in s], np.int32)
+    if not len(text):
         return net
-    epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(every)))
+    toxic = np.array(labels, np.int8)[text] > 0
+    epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(text)))
     heavy = min(2.0, max(1.0, labels.count(0) / max(1, labels.count(1))))
-    top: dict[int, set[tuple[int, int]]] = {}
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    step = 0
+    use, step = np.ones(len(text), bool), 0
     for epoch in range(epochs):
-        chosen = [w for w in every if not labels[w[0]] or not epoch or w in top.get(w[0], ())]
-        for a in range(0, len(chosen), BATCH):
-            if not a:
-                order = g.permutation(len(chosen))
-            own = [chosen[i] for i in order[a : a + BATCH]]
-            at, mask = _grid(places, own)
+        order = g.permutation(np.flatnonzero(use))
+        for a in range(0, len(order), BATCH):
+            own = order[a : a + BATCH]
+            at, mask = _grid(places, list(zip(text[own].tolist(), start[own].tolist())))
             used, at = np.unique(at, return_inverse=True)
-            y = np.array([labels[d] for d, _ in own], np.float32)
-            grads = net.gradients([vocabulary[i] for i in used.tolist()], at.reshape(mask.shape), mask, y, np.where(y > 0, heavy, 1.0).astype(np.float32))
+            grads = net.gradients([vocabulary[i] for i in used.tolist()], at.reshape(mask.shape), mask, toxic[own].astype(np.float32), np.where(toxic[own], heavy, 1.0).astype(np.float32))
             step += 1
             for k, v in grads.items():
                 first, second = m[k]
                 first += 0.1 * (v - first)
                 second += 0.01 * (v * v - second)
                 net.p[k] -= (RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-        if epoch + 1 < epochs:
-            positive = [w for w in every if labels[w[0]]]
-            projected = net.project(vocabulary)
-            top = {}
-            for a in range(0, len(positive), 4096):
-                at, mask = _grid(places, positive[a : a + 4096])
-                for w, s in zip(positive[a : a + 4096], net.score(projected[at], mask).tolist()):
-                    top.setdefault(w[0], []).append((s, w))
-            top = {d: {w for s, w in found if s > 0.9} | {max(found)[1]} for d, found in top.items()}
+        if epoch + 1 < epochs:  # a toxic text goes on with the windows that score high in it, its highest at least
+            positive, score = np.flatnonzero(toxic), np.zeros(len(text), np.float32)
+            for a in range(0, len(positive), BATCH):
+                own = positive[a : a + BATCH]
+                at, mask = _grid(places, list(zip(text[own].tolist(), start[own].tolist())))
+                used, at = np.unique(at, return_inverse=True)
+                score[own] = net.score(net.project([vocabulary[i] for i in used.tolist()])[at.reshape(mask.shape)], mask)
+            best = np.zeros(len(places), np.float32)
+            np.maximum.at(best, text[positive], score[positive])
+            use = ~toxic | (score > 0.9) | (score == best[text])
     return net
 
 
@@ -259,50 +266,65 @@ class Scorer:
             at += size[d] + WINDOW
         out = np.zeros(len(split))
         starts, stops, owners = np.array(starts), np.array(stops), np.array(owners)
-        for a in range(0, len(starts), 4096):
-            s = starts[a : a + 4096]
+        for a in range(0, len(starts), BATCH_SCORED):
+            s = starts[a : a + BATCH_SCORED]
             grid = s[None, :] + np.arange(WINDOW)[:, None]
-            mask = (grid < stops[a : a + 4096]).astype(np.float32)
-            np.maximum.at(out, owners[a : a + 4096], self.net.score(self.rows[flat[grid]], mask))
+            mask = (grid < stops[a : a + BATCH_SCORED]).astype(np.float32)
+            np.maximum.at(out, owners[a : a + BATCH_SCORED], self.net.score(self.rows[flat[grid]], mask))
         return out
 
 
-_scorers: dict[int, tuple[object, Scorer]] = {}
+_scorers: dict[int, Scorer] = {}
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, rate: float, text: str, whole: bool) -> Iterator[pa.RecordBatch]:
-    """Scores beside the identifier, or with ``whole`` beside all columns of the row."""
-    scorer = None
+def _scorer(params: dict[str, np.ndarray]) -> Scorer:
+    """One for each model and Python worker."""
+    key = zlib.crc32(params["out"].tobytes() + params["inputs"].tobytes())
+    if key not in _scorers:
+        _scorers.clear()
+        net = Network.__new__(Network)
+        net.p = params
+        _scorers[key] = Scorer(net)
+    return _scorers[key]
+
+
+def _score(batches: Iterator[pa.RecordBatch], model, rate: float, text: int, keep: int, name: str) -> Iterator[pa.RecordBatch]:
+    """Scores of column ``text``, under ``name``, beside the first ``keep`` columns."""
     for b in batches:
-        texts = b.column(b.schema.get_field_index(text)).to_pylist()
-        if model is None:
-            scores = np.full(len(texts), rate)
-        else:
-            if scorer is None:
-                params = model.value
-                key = zlib.crc32(params["out"].tobytes() + params["inputs"].tobytes())
-                if key not in _scorers:
-                    _scorers.clear()
-                    net = Network.__new__(Network)
-                    net.p = params
-                    _scorers[key] = (params, Scorer(net))
-                scorer = _scorers[key][1]
-            scores = scorer.score(texts)
-        columns = b.columns if whole else [b.column(0)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*b.schema.names[: len(columns)], "_score"])
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> list:
-    """(text, label) of a bounded sample, chosen by a hash of the identifier, not held out."""
-    known = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
-    rows = []
-    for toxic in (0, 1):
-        # at most 3 n identifiers, so the broadcast side is bounded
-        some = known.where(F.col("_toxic") == toxic).select("_id").distinct().orderBy(F.xxhash64(F.col("_id"), F.lit(17)), "_id").limit(3 * n)
-        texts = docs.where(F.length(text_col).between(1, chars)).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id", "left_semi")
-        picked = texts.orderBy(F.xxhash64(F.col("_id"), F.lit(17)), "_id").limit(n).collect()
-        rows += [(r["_text"], toxic) for r in picked]
-    return rows
+        texts = b.column(text).to_pylist()
+        scores = np.full(len(texts), rate) if model is None else _scorer(model.value).score(texts)
+        yield pa.RecordBatch.from_arrays([*b.columns[:keep], pa.array(scores, pa.float64())], names=[*b.schema.names[:keep], name])
+
+
+_MODEL_DDL = "name string, shape array<int>, data binary, rate double"
+
+
+def _teach(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """The model's arrays, taught by the first ``n`` texts of each class in the order of their mark;
+    one nameless row without texts of both classes."""
+    rows = sorted((r["mark"], r["id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
+    sample = [(t, y) for toxic in (0, 1) for _, _, t, y in [r for r in rows if r[3] == toxic][:n]]
+    labels = [y for _, y in sample]
+    if len(set(labels)) < 2:
+        rows = [("", [], b"", 0.5 * (sum(labels) / len(labels) if labels else 0.0))]
+    else:
+        rows = [(k, list(v.shape), v.tobytes(), 0.0) for k, v in train([t for t, _ in sample], labels).p.items()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.list_(pa.int32()), pa.binary(), pa.float64()))], names=["name", "shape", "data", "rate"])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, n: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(id, mark, text, toxic) of about ``n`` texts of each class or some more, chosen by a hash of the
+    identifier, not held out.  Ids are matched before they are chosen, so removed and long texts don't
+    thin the sample."""
+    known = labels.select(col(labels, id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("id"))).distinct()
+    texts = docs.select(col(docs, id_col).alias("id"), col(docs, text_col).cast("string").alias("text")).where(F.length("text").between(1, chars))
+    mark = F.xxhash64("id", F.lit(17))
+    found = materialise(texts.select("id").join(known, "id").select("id", "toxic", mark.alias("mark")).distinct(), "labelled")
+    share = {r["toxic"]: min(1.0, (1.2 * n + 50) / r["n"]) for r in found.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a share of the marks' range, so some n identifiers of each class are broadcast
+    below = lambda toxic: F.lit(int(min(2**63 - 1, share[toxic] * 2.0**64 - 2.0**63)))
+    chosen = found.where(reduce(lambda x, y: x | y, [(F.col("toxic") == k) & (F.col("mark") <= below(k)) for k in share], F.lit(False)))
+    return texts.join(F.broadcast(chosen), "id").select("id", "mark", "text", "toxic")
 
 
 def held_out(id_column):
@@ -310,28 +332,28 @@ def held_out(id_column):
     return F.crc32(id_column.cast("string").cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SAMPLE_TEXTS) -> tuple:
     """The broadcast parameters (None without labels of both classes) and the score to give without them."""
-    sample = training_rows(docs, labels, id_col, text_col)
-    toxic = [t for _, t in sample]
-    if len(set(toxic)) < 2:
-        return None, 0.5 * (sum(toxic) / len(toxic) if toxic else 0.0)
-    return docs.sparkSession.sparkContext.broadcast(train([t for t, _ in sample], toxic).p), 0.0
+    sample = training_rows(docs, labels, id_col, text_col, n)
+    taught = sample.repartition(1).mapInArrow(partial(_teach, n=n), _MODEL_DDL).collect()
+    if not taught or not taught[0]["name"]:
+        return None, taught[0]["rate"] if taught else 0.0
+    params = {r["name"]: np.frombuffer(r["data"], np.float32).reshape(r["shape"]) for r in taught}
+    return docs.sparkSession.sparkContext.broadcast(params), 0.0
 
 
-def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``_score``; only the text is scored."""
+def score_rows(docs: DataFrame, labels: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with a column ``name``, which it must not have; only the text is scored."""
     tune(docs.sparkSession)
     model, rate = fit(docs, labels, id_col, text_col)
-    schema = docs.select(*docs.columns).schema.add("_score", "double")
-    return docs.mapInArrow(partial(_score, model=model, rate=rate, text=text_col, whole=True), schema)
+    at = docs.columns.index(text_col)
+    return docs.mapInArrow(partial(_score, model=model, rate=rate, text=at, keep=len(docs.columns), name=name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row: id, held_out, score, predicted (1 from a score of 0.5)."""
     tune(docs.sparkSession)
     model, rate = fit(docs, labels, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"))
-    scored = rows.mapInArrow(partial(_score, model=model, rate=rate, text="_text", whole=False), f"{id_col} long, _score double")
-    score = F.col("_score")
-    return scored.select(id_col, F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(col(docs, id_col).cast("long").alias("id"), col(docs, text_col).cast("string").alias("text"))
+    scored = rows.mapInArrow(partial(_score, model=model, rate=rate, text=1, keep=1, name="score"), "id long, score double")
+    return scored.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
