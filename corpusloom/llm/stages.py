@@ -22,20 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts (A-Z lower-cased): that of the smallest doc_id, the first if it repeats."""
-    groups = exact_dedup.content_groups(docs)
-    gone = materialise(groups.where("not (id = lo and first)").groupBy("id").agg(F.count(F.lit(1)).alias("n")), "copies")
-    kept = groups.where("id = lo and first").select("id")
-    # a doc_id that is both kept and dropped stands for repeated rows, or for two texts under one id
-    mixed = materialise(gone.join(kept, "id", "left_semi").select("id"), "repeated")
-    plain = docs.join(gone.select(F.col("id").alias("_id")), F.coalesce("doc_id", F.lit(-1)) == F.col("_id"), "left_anti")
-    if mixed.isEmpty():
-        return plain
-    some = docs.join(mixed.select(F.col("id").alias("_id")), F.coalesce("doc_id", F.lit(-1)) == F.col("_id"), "left_semi")
-    lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keys = groups.where("id = lo and first").join(mixed, "id", "left_semi").select(F.col("id").alias("_id"), F.lower(F.hex("digest")).alias("_key"))
-    some = some.withColumn("_key", F.sha2(lowered.cast("binary"), 256)).withColumn("_id", F.coalesce("doc_id", F.lit(-1)))
-    return plain.unionByName(some.join(keys, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).select(*docs.columns))
+    """One row of each group of equal texts (A-Z lower-cased): that of the smallest doc_id, one of them if
+    it repeats.  Rows travel whole through the sort.
+
+    A null text is an empty one; a null doc_id stays only where its group has no other; no column of
+    ``docs`` may clash, and an empty table gives an empty one.
+    """
+    return exact_dedup.distinct_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,21 +54,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without byte strings of 100 that start earlier; n_chars follows the text.
 
-    Other columns travel with their row.  A character cut at an edge goes whole.
+    Other columns travel with their row, as they are.  A character cut at an edge goes whole; a null
+    text becomes an empty one; a null doc_id counts as the first; an empty table gives an empty one.
     """
-    other = [c for c in docs.columns if c != "text"]
-    carry = F.to_json(F.struct(*(F.col(f"`{c}`") for c in other)), {"ignoreNullFields": "false"}) if other else None
-    out = suffix_dedup.remove_repeats(docs, length=100, characters=True, carry=carry)
-    kept = F.col("kept").cast("string").alias("_kept")
-    if not other:
-        return out.select(kept.alias("text"))
-    rows = out.select(kept, F.from_json("carried", docs.select(*(F.col(f"`{c}`") for c in other)).schema).alias("_row"))
-    values = {c: F.col("_row")[c] for c in other} | {"text": F.col("_kept")}
-    if "n_chars" in docs.columns:
-        values["n_chars"] = F.length("_kept").cast(docs.schema["n_chars"].dataType)
-    return rows.select(*(values[c].alias(c) for c in docs.columns))
+    return suffix_dedup.cut_rows(docs, length=100, count_col="n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens packed into sequences."""
+    """Pieces of at most 4096 tokens packed into sequences.
+
+    A null text is an empty one; repeated rows are packed apart; an empty table gives no pieces.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, limit=4096)

@@ -7,19 +7,21 @@ Texts are laid out in blocks.  Winnowing picks, in every window of ``length``
 bytes, the smallest hash of its short strings, so equal windows pick equal
 anchors at equal offsets.  Anchors whose hash occurs once in the corpus can't lie
 in a repeated window; only windows of the other anchors go on, as one record for
-each anchor with the bytes around it.  Records of one anchor meet, and their
-suffixes are sorted to ``length`` bytes by deep-shallow sorting: multikey
-quicksort on 8-byte digits to a shallow depth, then a blind trie for each group
-that still shares its prefix.  Equal neighbours in the order are repeats, all but
-the first of them.
+each anchor with the bytes around it.  Records of one anchor meet, equal ones are
+settled at once, and the suffixes of the others are sorted to ``length`` bytes by
+deep-shallow sorting: multikey quicksort with three-way partitions of 8-byte
+digits to a shallow depth, then a blind trie for each group that still shares its
+prefix.  Equal neighbours in the order are repeats, all but the first of them.
 
-Records that are equal inside a block are settled there, and windows of very
-frequent anchors are dealt by their own content, so no passage, however common,
-gathers in one task.
+Equal records are settled inside a block before they travel, and again as they
+arrive, so a passage, however common, is never held in more copies than a task's
+memory allows; windows of very frequent anchors are dealt by their own content.
 
 Defined cases: a null text is empty; texts below ``length`` bytes keep all; of
-rows that repeat an identifier one counts as earlier; an empty table gives an
-empty result; other columns don't matter.
+rows that repeat an identifier one counts as earlier; a null identifier stays null
+and counts as the first; an empty table gives an empty result; other columns,
+whatever their names, don't matter to ``remove_repeats`` and stay as they are in
+``cut_rows``.
 """
 
 from __future__ import annotations
@@ -34,65 +36,90 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, tune
+from pyspark.sql.types import StructField, StructType
+
+from .common import col, materialise, partitions, tune
 from .shingles import mix
 
-#: Bytes of text in a block, and in what is sorted at once.
-BLOCK_BYTES, SORT_BYTES = 4 << 20, 6 << 20
+#: Bytes of text in a block, what is sorted at once, and what arrives before equal records are settled.
+BLOCK_BYTES, SORT_BYTES, SETTLE_BYTES = 4 << 20, 6 << 20, 48 << 20
+#: Level of compression of blocks and records.
+LEVEL = 6
 #: Bytes of an anchor.
-GRAM = 24
+GRAM = 16
 #: Occurrences from which an anchor's windows are dealt by their content.
 FREQUENT = 2000
 #: Bytes that multikey quicksort orders before blind tries take over.
 SHALLOW = 16
+#: Stands for a null identifier, which comes first.
+NO_ID = np.iinfo(np.int64).min
 
 _BLOCK_DDL = "block long, payload binary"
-_ROW_DDL = "key long, doc long, uid long, lo int, delta int, bytes binary"
-_ROW = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("uid", pa.int64()), ("lo", pa.int32()), ("delta", pa.int32()), ("bytes", pa.binary())])
+#: Records of a block for one bucket, or (bytes of) spans of a block: kind 0 or 1.
+_PACK_DDL = "bucket int, block long, kind int, payload binary"
+_PACK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("payload", pa.binary())])
 #: Spans of a block: triples of 32-bit document, start and end.
 _SPAN = pa.schema([("block", pa.int64()), ("spans", pa.binary())])
+#: A record beside its bytes: key, document's identifier, place in the corpus, first window, offset of the anchor, size.
+_RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("uid", "<i8"), ("lo", "<i4"), ("delta", "<i4"), ("size", "<i4")])
 
 
 # -- blocks ---------------------------------------------------------------------
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents: identifiers and sizes, texts, and the other columns as an Arrow stream."""
     from pyspark import TaskContext
 
-    part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+    part, seq, ids, raws, others, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
     def flush() -> pa.RecordBatch:
-        ids, raws, extras = zip(*held)
-        head = np.array([len(ids)], "<i8").tobytes() + np.array(ids, "<i8").tobytes() + b"".join(np.fromiter(map(len, x), "<i8", len(x)).tobytes() for x in (raws, extras))
-        payload = zstandard.compress(b"".join((head, *raws, *extras)), 3)
+        head = np.array([len(ids)], "<i8").tobytes() + np.array([NO_ID if i is None else i for i in ids], "<i8").tobytes() + np.fromiter(map(len, raws), "<i8", len(raws)).tobytes()
+        stream = b""
+        if others:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, others[0].schema) as out:
+                for o in others:
+                    out.write_batch(o)
+            stream = sink.getvalue().to_pybytes()
+        payload = zstandard.compress(b"".join((head, *raws, stream)), LEVEL)
         return pa.RecordBatch.from_pydict({"block": pa.array([part << 20 | seq], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
     for b in batches:
-        for i, text, extra in zip(*(c.to_pylist() for c in b.columns)):
+        texts, begin = b.column(1).to_pylist(), 0
+        other = pa.RecordBatch.from_arrays(b.columns[2:], names=b.schema.names[2:]) if b.num_columns > 2 else None
+        for k, (i, text) in enumerate(zip(b.column(0).to_pylist(), texts)):
             raw = (text or "").encode()
-            held.append((i, raw, (extra or "").encode()))
+            ids.append(i)
+            raws.append(raw)
             size += len(raw)
-            if size >= BLOCK_BYTES or len(held) >= 1 << 19:
+            if size >= BLOCK_BYTES or len(ids) >= 1 << 19:
+                if other is not None:
+                    others.append(other.slice(begin, k + 1 - begin))
                 yield flush()
-                seq, held, size = seq + 1, [], 0
-    if held:
+                seq, ids, raws, others, size, begin = seq + 1, [], [], [], 0, k + 1
+        if other is not None and begin < b.num_rows:
+            others.append(other.slice(begin))
+    if ids:
         yield flush()
 
 
 class Block:
-    """Documents end to end: identifiers, sizes, bytes, carried strings."""
+    """Documents end to end: identifiers, sizes, bytes, other columns."""
 
     def __init__(self, payload: bytes):
         raw = zstandard.decompress(payload)
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        self.ids, self.sizes, extra = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(3, n)
-        at = 8 + 24 * n
+        self.ids, self.sizes = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(2, n)
+        at = 8 + 16 * n
         self.text = np.frombuffer(raw, np.uint8, int(self.sizes.sum()), at)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
-        at += len(self.text)
-        stops = np.cumsum(extra).tolist()
-        self.extras = [raw[at + b - a : at + b].decode() for a, b in zip(extra.tolist(), stops)]
+        self._rest = raw, at + len(self.text)
+
+    def others(self) -> pa.RecordBatch:
+        raw, at = self._rest
+        return pa.ipc.open_stream(pa.py_buffer(raw)[at:]).read_all().combine_chunks().to_batches()[0]
 
 
 # -- anchors --------------------------------------------------------------------
@@ -198,7 +225,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(rows)
 
 
-def _records(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _records(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by block and part: the repeated hashes of a block, then the block."""
     now, known, often = None, [], []
     for b in batches:
@@ -209,10 +236,10 @@ def _records(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 known.append(np.frombuffer(x, np.uint64))
                 often.append(np.frombuffer(y, bool))
             elif known:
-                yield from _block_records(block, Block(x), np.concatenate(known), np.concatenate(often), length)
+                yield from _block_records(block, Block(x), np.concatenate(known), np.concatenate(often), length, buckets)
 
 
-def _block_records(number: int, block: Block, known: np.ndarray, often: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+def _block_records(number: int, block: Block, known: np.ndarray, often: np.ndarray, length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     order = np.argsort(known)
     known, often = known[order], often[order]
     h, pos, lo, hi, doc = anchors(block, length)
@@ -246,21 +273,24 @@ def _block_records(number: int, block: Block, known: np.ndarray, often: np.ndarr
         else:
             seen.add(mark)
             first.append(k)
-    uid = number << 20 | doc
-    for a in range(0, len(first), 20_000):
-        own = np.array(first[a : a + 20_000])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[own].view(np.int64)), pa.array(block.ids[doc[own]]), pa.array(uid[own]), pa.array((lo - start)[own].astype(np.int32)), pa.array((pos - lo)[own].astype(np.int32)), pa.array([text[k] for k in own.tolist()], pa.binary())],
-            schema=_ROW,
-        )
+    own = np.array(first)
+    made = np.empty(len(own), _RECORD)
+    made["key"], made["doc"], made["uid"], made["lo"], made["delta"] = key[own], block.ids[doc[own]], number << 20 | doc[own], (lo - start)[own], (pos - lo)[own]
+    made["size"] = np.fromiter((len(text[k]) for k in first), np.int64, len(first))
+    to = (mix(made["key"]) >> np.uint64(40)).astype(np.int64) * buckets >> 24
+    order = np.argsort(to, kind="stable")
+    edge = np.flatnonzero(np.append(True, to[order][1:] != to[order][:-1])) if len(order) else np.zeros(0, np.int64)
+    rows = []
+    for x, y in zip(edge.tolist(), np.append(edge[1:], len(order)).tolist()):
+        mine = order[x:y]
+        payload = made[mine].tobytes() + b"".join([text[first[k]] for k in mine.tolist()])
+        rows.append((int(to[mine[0]]), number, 0, np.array([y - x], "<i8").tobytes() + zstandard.compress(payload, LEVEL)))
     if again:  # an equal record stands earlier in this block: all of its windows are repeats
         own = np.array(again)
-        d, x, y = doc[own], (lo - start)[own], (hi - start)[own] + length
-        d, x, y = _merged(d, x, y)
-        spread = mix((number << 20 | d).astype(np.uint64) ^ x.astype(np.uint64) << np.uint64(40)).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(spread), pa.array(block.ids[d]), pa.array(number << 20 | d), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.nulls(len(d), pa.binary())], schema=_ROW
-        )
+        d, x, y = _merged(doc[own], (lo - start)[own], (hi - start)[own] + length)
+        rows.append((number % buckets, number, 1, np.stack([d, x, y], 1).astype("<i4").tobytes()))
+    for a in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 64]), _PACK)], schema=_PACK)
 
 
 def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -288,6 +318,34 @@ def _regroup(keys: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
+def multikey_quicksort(word: np.ndarray, start: np.ndarray, order: np.ndarray, rank: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes ``order`` of groups ``rank`` sorted to ``depth`` bytes, and their dense group numbers.
+
+    All groups are partitioned side by side: each takes the digit of its middle suffix as its pivot and
+    splits into less, equal and greater; only the equal part moves on to the next digit.
+    """
+    digit = np.zeros(len(order), np.int64)
+    new = np.append(True, rank[1:] != rank[:-1]) if len(order) else np.zeros(0, bool)
+    while True:
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(order)))
+        go = (size > 1) & (digit[first] < depth)
+        if not go.any():
+            return order, np.cumsum(new) - 1
+        n = size[go]
+        part = np.repeat(np.arange(len(n)), n)
+        inner = np.arange(len(part)) - np.repeat(np.cumsum(n) - n, n)
+        place = np.repeat(first[go], n) + inner
+        d = word[start[order[place]] + digit[place]]
+        pivot = np.repeat(d[np.cumsum(n) - n + n // 2], n)
+        side = part * 3 + (d >= pivot) + (d > pivot)
+        o = np.argsort(side, kind="stable")
+        order[place] = order[place[o]]
+        side = side[o]
+        new[place[1:]] |= side[1:] != side[:-1]
+        digit[place] += 8 * (side % 3 == 1)
+
+
 def deep_shallow_sort(word: np.ndarray, start: np.ndarray, group: np.ndarray, length: int, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes at ``start``, to ``length`` bytes and within groups, and their class numbers.
 
@@ -296,10 +354,7 @@ def deep_shallow_sort(word: np.ndarray, start: np.ndarray, group: np.ndarray, le
     """
     depth = min(shallow, length) // 8 * 8
     order = np.argsort(group, kind="stable")
-    rank = np.unique(group, return_inverse=True)[1][order]
-    for d in range(0, depth, 8):  # multikey quicksort: groups split by their next digit
-        o, rank = _regroup((word[start[order] + d], rank))
-        order = order[o]
+    order, rank = multikey_quicksort(word, start, order, np.unique(group, return_inverse=True)[1][order], depth)
     # blind tries: each group is laid beside the path of its head; those that leave the path at
     # one depth by one byte stay together, and no byte above that depth is read again
     out_order, level_rank = order.copy(), rank
@@ -347,30 +402,86 @@ def deep_shallow_sort(word: np.ndarray, start: np.ndarray, group: np.ndarray, le
     return out_order, level_rank
 
 
+class Gathered:
+    """Records of a task, as they arrive; equal ones are settled when there are many."""
+
+    def __init__(self) -> None:
+        self.rows, self.texts, self.size, self.most = [], [], 0, SETTLE_BYTES
+
+    def add(self, payload: bytes) -> Iterator[pa.RecordBatch]:
+        n = int(np.frombuffer(payload, "<i8", 1)[0])
+        raw = zstandard.decompress(payload[8:])
+        self.rows.append(np.frombuffer(raw, _RECORD, n))
+        self.texts.append(raw[n * _RECORD.itemsize :])
+        self.size += len(raw)
+        if self.size > self.most:
+            yield from self.settle()
+            self.most = max(SETTLE_BYTES, 2 * self.size)
+
+    def settle(self) -> Iterator[pa.RecordBatch]:
+        """Keep the earliest of equal records; the windows of the others are repeats."""
+        if not self.rows:
+            return
+        rows, text = np.concatenate(self.rows), b"".join(self.texts)
+        ends = np.cumsum(rows["size"], dtype=np.int64)
+        cut = [text[x - n : x] for x, n in zip(ends.tolist(), rows["size"].tolist())]
+        keys, deltas = rows["key"].tolist(), rows["delta"].tolist()
+        seen: set[tuple] = set()
+        first, again = [], []
+        for k in np.lexsort((rows["lo"], rows["uid"], rows["doc"])).tolist():
+            mark = (keys[k], deltas[k], cut[k])
+            if mark in seen:
+                again.append(k)
+            else:
+                seen.add(mark)
+                first.append(k)
+        if again:
+            own = rows[again]
+            yield _merged_spans(own["uid"], own["lo"].astype(np.int64), own["lo"].astype(np.int64) + own["size"])
+        first = np.array(first)
+        first = first[np.argsort(rows["key"][first], kind="stable")]
+        self.rows, self.texts = [rows[first]], [b"".join([cut[k] for k in first.tolist()])]
+        self.size = len(self.texts[0]) + len(first) * _RECORD.itemsize
+
+
 def _sort(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Of records sorted by key: spans that repeat earlier bytes."""
-    held: list[tuple] = []
-    size, key = 0, None
-    passed: list[tuple] = []
+    """Of packed records: spans that repeat earlier bytes."""
+    all_ = Gathered()
     for b in batches:
-        for k, doc, uid, lo, delta, raw in zip(*(c.to_pylist() for c in b.columns)):
-            if raw is None:
-                passed.append((uid, lo, delta))
-                continue
-            if k != key:
-                if size > SORT_BYTES:
-                    yield from _repeats(held, length)
-                    held, size = [], 0
-                key = k
-            held.append((k, doc, uid, lo, delta, raw))
-            size += len(raw)
-        if len(passed) > 5000:
-            yield _spans(*map(np.array, zip(*passed)))
-            passed = []
-    if held:
-        yield from _repeats(held, length)
-    if passed:
-        yield _spans(*map(np.array, zip(*passed)))
+        for block, kind, payload in zip(*(b.column(c).to_pylist() for c in ("block", "kind", "payload"))):
+            if kind:
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([payload], pa.binary())], schema=_SPAN)
+            else:
+                yield from all_.add(payload)
+    yield from all_.settle()
+    if not all_.rows:
+        return
+    rows, text = all_.rows[0], np.frombuffer(all_.texts[0], np.uint8)  # in order of key
+    ends = np.cumsum(rows["size"], dtype=np.int64)
+    new = np.append(True, rows["key"][1:] != rows["key"][:-1])
+    group = np.cumsum(new) - 1
+    again = np.flatnonzero(np.bincount(group)[group] > 1)
+    if not len(again):
+        return
+    # parts of whole groups of about SORT_BYTES
+    size = np.cumsum(rows["size"][again], dtype=np.int64)
+    at = 0
+    while at < len(again):
+        stop = int(np.searchsorted(size, (size[at - 1] if at else 0) + SORT_BYTES, "right"))
+        stop = max(stop, at + 1)
+        while stop < len(again) and group[again[stop]] == group[again[stop - 1]]:
+            stop += 1
+        own = again[at:stop]
+        n = rows["size"][own].astype(np.int64)
+        place = np.arange(n.sum()) + np.repeat(ends[own] - n - (np.cumsum(n) - n), n)
+        yield from _repeats(rows[own], group[own], text[place], length)
+        at = stop
+
+
+def _merged_spans(uid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    known, dense = np.unique(uid, return_inverse=True)
+    d, x, y = _merged(dense, lo, hi)
+    return _spans(known[d], x, y)
 
 
 def _spans(uid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
@@ -383,44 +494,49 @@ def _spans(uid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(block[first], pa.int64()), pa.array([triples[x:y].tobytes() for x, y in zip(first, stop)], pa.binary())], schema=_SPAN)
 
 
-def _repeats(rows: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
-    keys, docs, uids, los, deltas, raws = zip(*rows)
-    key, doc, uid, lo, delta = (np.array(x, np.int64) for x in (keys, docs, uids, los, deltas))
-    new = np.append(True, key[1:] != key[:-1])
-    group = np.cumsum(new) - 1
-    some = np.bincount(group)[group] > 1
-    if not some.any():
-        return
-    kept = np.flatnonzero(some)
-    group, doc, uid, lo, delta = group[kept], doc[kept], uid[kept], lo[kept], delta[kept]
-    raws = [raws[k] for k in kept.tolist()]
-    size = np.fromiter(map(len, raws), np.int64, len(raws))
-    text = np.frombuffer(b"".join(raws), np.uint8)
+def _repeats(rows: np.ndarray, group: np.ndarray, text: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """Spans of the windows of ``rows`` (their bytes end to end) that an earlier one of its group equals."""
+    doc, uid, lo, delta, size = (rows[c].astype(np.int64) for c in ("doc", "uid", "lo", "delta", "size"))
     word = digits(text)
     count = size - length + 1
-    rec = np.repeat(np.arange(len(raws)), count)
+    rec = np.repeat(np.arange(len(rows)), count)
     step = np.arange(len(rec)) - np.repeat(np.cumsum(count) - count, count)
     start = (np.cumsum(size) - size)[rec] + step
     # equal windows have their anchor at one offset
     bound = group[rec] * 4096 + delta[rec] - step + 2048
     order, cls = deep_shallow_sort(word, start, bound, length)
+    many = np.bincount(cls)[cls] > 1
+    order, cls = order[many], cls[many]
     rec, step = rec[order], step[order]
     at = lo[rec] + step
     by = np.lexsort((at, uid[rec], doc[rec], cls))
     cls, rec, at = cls[by], rec[by], at[by]
     again = np.append(False, cls[1:] == cls[:-1])
     if again.any():
-        u = uid[rec[again]]
-        known, dense = np.unique(u, return_inverse=True)
-        d, x, y = _merged(dense, at[again], at[again] + length)
-        yield _spans(known[d], x, y)
+        yield _merged_spans(uid[rec[again]], at[again], at[again] + length)
 
 
 # -- cutting --------------------------------------------------------------------
 
 
-def _cut(batches: Iterator[pa.RecordBatch], digest: bool, characters: bool) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by block and part: the spans of a block, then the block."""
+def _kept(block: Block, spans: list[np.ndarray]) -> Iterator[tuple[int, bytes, int]]:
+    """For each document of a block: how many bytes it has, those that stay, its removed runs."""
+    cut: dict[int, list[tuple[int, int]]] = {}
+    if spans:
+        for d, x, y in zip(*(v.tolist() for v in _merged(*np.concatenate(spans).T))):
+            cut.setdefault(d, []).append((x, y))
+    raw = block.text.tobytes()
+    for d, (a, z) in enumerate(zip(block.starts.tolist(), block.ends.tolist())):
+        text, gone = raw[a:z], cut.get(d, [])
+        if gone:
+            edges = [0, *(e for s in gone for e in s), len(text)]
+            text = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
+        yield z - a, text, len(gone)
+
+
+def _cut(batches: Iterator[pa.RecordBatch], rows) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by block and part: the spans of a block, then the block.  ``rows`` makes the output
+    columns of a block."""
     now, spans = None, []
     for b in batches:
         for block, part, payload in zip(*(c.to_pylist() for c in b.columns)):
@@ -429,48 +545,67 @@ def _cut(batches: Iterator[pa.RecordBatch], digest: bool, characters: bool) -> I
             if part == 0:
                 spans.append(np.frombuffer(payload, "<i4").reshape(-1, 3).astype(np.int64))
                 continue
-            own = Block(payload)
-            cut: dict[int, list[tuple[int, int]]] = {}
-            if spans:
-                for d, x, y in zip(*(v.tolist() for v in _merged(*np.concatenate(spans).T))):
-                    cut.setdefault(d, []).append((x, y))
-            raw = own.text.tobytes()
-            rows = []
-            for d, (i, a, z) in enumerate(zip(own.ids.tolist(), own.starts.tolist(), own.ends.tolist())):
-                text, gone = raw[a:z], cut.get(d, [])
-                if gone:
-                    edges = [0, *(e for s in gone for e in s), len(text)]
-                    text = b"".join(text[x:y] for x, y in zip(edges[::2], edges[1::2]))
-                left = len(text)
-                if gone and characters:
-                    text = text.decode("utf-8", "ignore").encode()
-                rows.append((i, z - a, z - a - left, len(gone), hashlib.sha256(text).hexdigest() if digest else None, None if digest else text, own.extras[d]))
-            for a in range(0, len(rows), 512):
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[a : a + 512]), _OUT)], schema=_OUT)
-
-
-_OUT_DDL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, carried string"
-_OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("carried", pa.string())])
-
-
-def remove_repeats(docs: DataFrame, length: int = 100, digest: bool = False, characters: bool = False, carry=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: id, n_bytes, n_removed, n_spans, kept (bytes; with ``digest`` kept_sha256), carried.
-
-    ``carry`` is a string column that comes back with its row.  With ``characters``
-    parts of a character that a cut leaves go too, so ``kept`` is UTF-8.
-    """
+            out = rows(Block(payload), spans)
+            for a in range(0, out.num_rows, 512):
+                yield out.slice(a, 512)
+
+
+_OUT_DDL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_OUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
+
+
+def _figures(block: Block, spans: list[np.ndarray], digest: bool) -> pa.RecordBatch:
+    ids = [None if i == NO_ID else i for i in block.ids.tolist()]
+    made = [(i, n, n - len(t), k, hashlib.sha256(t).hexdigest() if digest else None, None if digest else t) for i, (n, t, k) in zip(ids, _kept(block, spans))]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), _OUT)], schema=_OUT)
+
+
+def _texts(block: Block, spans: list[np.ndarray], at: int) -> pa.RecordBatch:
+    """The other columns of the rows, and at place ``at`` their text without the parts of a character that
+    a cut leaves."""
+    texts = pa.array([t.decode("utf-8", "ignore") for _, t, _ in _kept(block, spans)], pa.string())
+    other = block.others()
+    columns, names = list(other.columns), list(other.schema.names)
+    columns.insert(at, texts)
+    names.insert(at, "text")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _spans_beside_blocks(rows: DataFrame, length: int) -> DataFrame:
+    """The spans to remove, then the block (block, part, payload), sorted so in partitions."""
     if length < 8:
         raise ValueError("length must be 8 or more")
-    spark = tune(docs.sparkSession)
-    n = partitions(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit(None).cast("string") if carry is None else carry).alias("carried"))
+    n = partitions(rows.sparkSession)
     blocks = materialise(rows.mapInArrow(_blocks, _BLOCK_DDL), "blocks")
-    buckets = min(1 << 16, max(1024, 64 * n))
+    buckets = min(1 << 20, max(1024, 8 * n))
     hashes = blocks.mapInArrow(partial(_anchor_rows, length=length, buckets=buckets), "bucket int, block long, hashes binary, counts binary")
     known = hashes.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "block long, part int, a binary, b binary")
     both = known.union(blocks.select("block", F.lit(1).alias("part"), F.col("payload").alias("a"), F.lit(None).cast("binary").alias("b")))
-    records = both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(partial(_records, length=length), _ROW_DDL)
-    spans = records.repartition(n, "key").sortWithinPartitions("key").mapInArrow(partial(_sort, length=length), "block long, spans binary")
+    records = both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(partial(_records, length=length, buckets=n), _PACK_DDL)
+    spans = records.repartitionById(n, F.col("bucket")).mapInArrow(partial(_sort, length=length), "block long, spans binary")
     both = spans.select("block", F.lit(0).alias("part"), F.col("spans").alias("payload")).union(blocks.select("block", F.lit(1).alias("part"), "payload"))
-    out = both.repartition(n, "block").sortWithinPartitions("block", "part").mapInArrow(partial(_cut, digest=digest, characters=characters), _OUT_DDL)
+    return both.repartition(n, "block").sortWithinPartitions("block", "part")
+
+
+def remove_repeats(docs: DataFrame, length: int = 100, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row: id, n_bytes, n_removed, n_spans, kept (bytes; with ``digest`` kept_sha256)."""
+    tune(docs.sparkSession)
+    rows = docs.select(col(docs, id_col).cast("long").alias("id"), col(docs, text_col).cast("string").alias("text"))
+    out = _spans_beside_blocks(rows, length).mapInArrow(partial(_cut, rows=partial(_figures, digest=digest)), _OUT_DDL)
     return out.withColumnRenamed("id", id_col)
+
+
+def cut_rows(docs: DataFrame, length: int = 100, count_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with their texts cut, and ``count_col``, if there, counting what is left."""
+    tune(docs.sparkSession)
+    other = [c for c in docs.columns if c != text_col]
+    names = [f"c{k}" for k in range(len(other))]
+    rows = docs.select(col(docs, id_col).cast("long").alias("id"), col(docs, text_col).cast("string").alias("text"), *(col(docs, c).alias(k) for c, k in zip(other, names)))
+    at = docs.columns.index(text_col)
+    fields = [StructField(k, docs.schema[c].dataType) for c, k in zip(other, names)]
+    fields.insert(at, StructField("text", docs.schema[text_col].dataType))
+    out = _spans_beside_blocks(rows, length).mapInArrow(partial(_cut, rows=partial(_texts, at=at)), StructType(fields))
+    back = dict(zip(other, (F.col(k) for k in names))) | {text_col: F.col("text")}
+    if count_col in other:
+        back[count_col] = F.length("text").cast(docs.schema[count_col].dataType)
+    return out.select(*(back[c].alias(c) for c in docs.columns))

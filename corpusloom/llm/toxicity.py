@@ -346,8 +346,10 @@ def score_rows(docs: DataFrame, labels: DataFrame, name: str, id_col: str = "doc
     """``docs`` with a column ``name``, which it must not have; only the text is scored."""
     tune(docs.sparkSession)
     model, rate = fit(docs, labels, id_col, text_col)
-    at = docs.columns.index(text_col)
-    return docs.mapInArrow(partial(_score, model=model, rate=rate, text=at, keep=len(docs.columns), name=name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    at, n = docs.columns.index(text_col), len(docs.columns)
+    rows = docs.toDF(*(f"c{k}" for k in range(n)))  # any name may stand in ``docs``
+    scored = rows.mapInArrow(partial(_score, model=model, rate=rate, text=at, keep=n, name="score"), StructType([*rows.schema.fields, StructField("score", DoubleType())]))
+    return scored.toDF(*docs.columns, name)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

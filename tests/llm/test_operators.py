@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import zstandard
 from tokenizers import Tokenizer
 
 from corpusloom.llm import byte_bpe, compaction, encode, exact_dedup, jaccard_join, packing, quality, registry, stages, suffix_dedup, token_shards, toxicity, url_filter
@@ -41,6 +42,11 @@ def texts_of(df):
     return [(-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 
 
+def plain(rows):
+    """Tuples in order; a null identifier, which stays null, as -1, as ``texts_of`` has it."""
+    return sorted(tuple(-1 if x is None else x for x in r) for r in rows)
+
+
 # -- exact dedup ----------------------------------------------------------------
 
 
@@ -54,7 +60,11 @@ def exact_brute(rows, keep=max):
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 def test_exact_dedup(spark, odd, keep):
     rows = texts_of(odd)
-    got = sorted(map(tuple, exact_dedup.exact_dedup(odd, keep).collect()))
+    found = exact_dedup.exact_dedup(odd, keep).collect()
+    # id 3 is there twice with one text: one of the two is kept
+    twice = [r for r in found if r["doc_id"] == 3]
+    assert sorted(r["kept"] for r in twice) == [False, True] and None in {r["doc_id"] for r in found}
+    got = plain((*r[:3], r["kept"] or r["doc_id"] == 3, r["text_sha256"]) for r in found)
     assert got == exact_brute(rows, max if keep == "largest" else min)
     assert exact_dedup.exact_dedup(odd.limit(0), keep).count() == 0
 
@@ -352,10 +362,34 @@ def test_jaccard_odd_and_near_copies(spark, odd):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "'x' as prefix")
     for percent, width in ((90, 3), (80, 5)):
         got = jaccard_join.jaccard_components(df, percent, width).collect()
-        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == jaccard_brute(rows, percent, width)
+        assert plain((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == jaccard_brute(rows, percent, width)
     assert jaccard_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_repeated_id_and_hot_group(spark, monkeypatch):
+    """One identifier with several texts; a third of all rows exact copies; a large group of near copies."""
+    g = random.Random(6)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(5, " ".join(base)), (5, "quite another text of its own"), (5, "quite another text of its own"), (9, "quite another text of its own")]
+    for i in range(900):
+        x = list(base)
+        for _ in range(g.choice((0, 1, 1, 2, 3, 8))):
+            x[g.randrange(60)] = f"z{g.randint(0, 9999)}"
+        rows.append((100 + i, " ".join(x)))
+    rows += [(5000 + i, " ".join(base[:50])) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as _id", "2 as _key", "3 as id", "4 as h", "timestamp'2024-01-02 01:02:03.123456' as at")
+    got = jaccard_join.jaccard_components(df, 90, 3).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == jaccard_brute(rows, 90, 3)
+    near = stages.drop_near_copies(spark, df, SF).collect()
+    sets = {r["component_id"] for r in jaccard_join.jaccard_components(df, 80, 5).collect()}
+    assert len(near) >= len(sets) and len({r["text"] for r in near}) == len(near) and near[0]["at"].microsecond == 123456
+    # blocks of a bucket, their pairs in different cells, find what whole buckets find
+    side = spark.range(400).selectExpr("id % 3 as token", "id as key", "cast(100 + id % 7 as long) as n", "id % 5 as at", "id % 4 as lo", "id % 4 as hi", "id % 2 = 0 as single", *(f"cast(hash(id, {k}) % 64 as long) as b{k}" for k in range(8)))
+    whole = sorted(map(tuple, jaccard_join.unsettled_pairs(side, 80, False).collect()))
+    monkeypatch.setattr(jaccard_join, "BUCKET_ROWS", 40)
+    assert whole and whole == sorted(map(tuple, jaccard_join.unsettled_pairs(side, 80, False).collect()))
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
@@ -406,7 +440,7 @@ def suffix_brute(rows, length):
 
 
 def suffix_rows(df):
-    return sorted(map(tuple, df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
+    return plain(df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
 
 
 @pytest.mark.parametrize("length", [8, 20, 24, 100])
@@ -437,6 +471,36 @@ def test_suffix_odd(spark, odd):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def suffix_dedup_blocks(docs):
+    head = np.array([len(docs), *(i for i, _ in docs), *(len(t.encode()) for _, t in docs)], "<i8").tobytes()
+    return [suffix_dedup.Block(zstandard.compress(head + b"".join(t.encode() for _, t in docs)))]
+
+
+def test_frequent_passages_through_spark(spark, monkeypatch):
+    """A passage in every document, with limits so low that each switch is taken, and copies by the hundred."""
+    g = random.Random(4)
+    shared = "".join(g.choice("abcdefgh") for _ in range(300))
+    rows = [(k, "".join(g.choice("abcdefgh") for _ in range(g.randint(0, 90))) + shared[: g.randint(150, 300)] + "".join(g.choice("abcdefgh") for _ in range(30))) for k in range(300)]
+    rows += [(k, rows[0][1] * 2) for k in range(1000, 1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = suffix_brute(rows, 100)
+    assert suffix_rows(suffix_dedup.remove_repeats(df, 100, digest=True)) == want
+    monkeypatch.setattr(suffix_dedup, "SETTLE_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 3000)
+    packs = []
+    for k, (i, t) in enumerate(rows):
+        (block,) = suffix_dedup_blocks([(i, t)])
+        h, n = np.unique(suffix_dedup.anchors(block, 100)[0], return_counts=True)
+        if len(h):
+            packs += suffix_dedup._block_records(k, block, h, h % 2 == 0, 100, 3)
+    gone = defaultdict(set)
+    for b in suffix_dedup._sort(iter(packs), 100):
+        for block, spans in zip(*(c.to_pylist() for c in b.columns)):
+            for _, lo, hi in np.frombuffer(spans, "<i4").reshape(-1, 3).tolist():
+                gone[block].update(range(lo, hi))
+    assert {i: len(gone[k]) for k, (i, _) in enumerate(rows)} == {r[0]: r[2] for r in want}
+
+
 def test_frequent_anchors_are_dealt_by_content():
     """Records of frequent anchors, one a window, lead to the same repeats."""
     g = random.Random(8)
@@ -444,16 +508,13 @@ def test_frequent_anchors_are_dealt_by_content():
     docs = [(k, "".join(g.choice("abcdefgh") for _ in range(50)) + shared + "".join(g.choice("abcdefgh") for _ in range(50))) for k in range(12)]
     want = {r[0]: r[2] for r in suffix_brute(docs, 100)}
     for hot in (False, True):
-        rows = []
+        packs = []
         for k, (i, t) in enumerate(docs):  # a block each
-            raw = t.encode()
-            head = np.array([1, i, len(raw), 0], "<i8").tobytes()
-            block = suffix_dedup.Block(__import__("zstandard").compress(head + raw))
+            (block,) = suffix_dedup_blocks([(i, t)])
             h = np.unique(suffix_dedup.anchors(block, 100)[0])
-            for b in suffix_dedup._block_records(k, block, h, np.full(len(h), hot), 100):
-                rows += list(zip(*(c.to_pylist() for c in b.columns)))
+            packs += suffix_dedup._block_records(k, block, h, np.full(len(h), hot), 100, 4)
         gone = defaultdict(set)
-        for b in suffix_dedup._repeats(sorted(rows, key=lambda r: r[0]), 100):
+        for b in suffix_dedup._sort(iter(packs), 100):
             for block, spans in zip(*(c.to_pylist() for c in b.columns)):
                 for _, lo, hi in np.frombuffer(spans, "<i4").reshape(-1, 3).tolist():
                     gone[block].update(range(lo, hi))
@@ -464,13 +525,11 @@ def test_frequent_anchors_are_dealt_by_content():
 
 
 def test_stages_keep_columns_and_rows(spark, odd):
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    labels.sparkSession.conf.set("spark.sql.shuffle.partitions", "4")
     copies = stages.drop_copies(spark, odd, SF)
     assert copies.columns == odd.columns
     got = sorted(texts_of(copies), key=str)
     first = {}
-    for i, t in sorted(texts_of(odd), key=lambda r: r[0]):
+    for i, t in sorted(texts_of(odd), key=lambda r: (r[0] == -1, r[0])):
         first.setdefault((t or "").translate(LOWER), (i, t))
     assert got == sorted(first.values(), key=str)
     near = stages.drop_near_copies(spark, copies, SF)
@@ -478,7 +537,33 @@ def test_stages_keep_columns_and_rows(spark, odd):
     cut = stages.cut_repeats(spark, near, SF)
     assert cut.columns == odd.columns and cut.count() == near.count()
     same = {r["doc_id"]: (r["text"], r["head"], r["part"]) for r in cut.collect()}
-    assert same[5] == ("a b", "x", "own") and same[7][0] != ""
+    assert same[5] == ("a b", "x", "own") and same[7][0] != "" and None in same
+
+
+def test_stages_with_clashing_columns_and_repeated_rows(spark):
+    """Names that the operators use themselves, types that text doesn't hold, no rows at all."""
+    extra = ["id", "_id", "_key", "_own", "_score", "text_", "kept", "block", "c0", "h", "n", "caps", "open", "slot", "token"]
+    long = "a long text that stands twice in this document, word for word, up to its very last letter and mark; "
+    rows = [(1, "Some words", 3), (1, "some WORDS", 4), (1, "some other words", 5), (2, None, 6), (None, "some words", 7), (None, None, 8), (3, long * 3, 9), (3, long * 3, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars int").selectExpr(
+        "*", "timestamp'2024-01-02 01:02:03.123456' as at", "cast(1.5 as decimal(10,3)) as `a.b`", "array(struct(1 as x, 'y' as z)) as nested", "cast(null as date) as none", *(f"{k} as `{c}`" for k, c in enumerate(extra))
+    )
+    kept = stages.drop_copies(spark, df, SF)
+    assert kept.schema.simpleString() == df.schema.simpleString()
+    got = kept.collect()
+    assert sorted((str(r["doc_id"]), str(r["text"]).lower()) for r in got) == [("1", "some other words"), ("1", "some words"), ("2", "none"), ("3", long * 3)]
+    for stage in (stages.drop_toxic, stages.drop_copies, stages.drop_near_copies, stages.cut_repeats):
+        out = stage(spark, df, SF)
+        assert out.schema.simpleString() == df.schema.simpleString(), stage
+        for r in out.collect():
+            assert r["at"].microsecond == 123456 and str(r["a.b"]) == "1.500" and r["nested"][0]["z"] == "y" and [r[c] for c in extra] == list(range(len(extra)))
+        assert stage(spark, df.limit(0), SF).count() == 0
+    assert stages.pack(spark, df.limit(0), SF).count() == 0
+    near = sorted((str(r["doc_id"]), str(r["text"]).lower()) for r in stages.drop_near_copies(spark, df, SF).collect())
+    assert near == [("1", "some other words"), ("1", "some words"), ("2", "none"), ("3", long * 3), ("None", "none")]
+    cut = stages.cut_repeats(spark, df, SF).collect()
+    assert all(r["n_chars"] == len(r["text"]) for r in cut)
+    assert sorted(r["n_chars"] for r in cut if r["doc_id"] == 3) == [0, len(long)]
 
 
 def test_pipeline_over_whole_tables(spark, docs):
