@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 
 #: Bytes of an Arrow batch that a Python worker receives: bounds its memory whatever the rows' length.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 #: Folders of sessions in one process without a shared folder, by application.
 _own: dict[str, str] = {}
 

@@ -1,30 +1,31 @@
-"""Encoding with the tokenizers library, piece by piece behind a cache.
+"""Encoding with the tokenizers library behind a cache of words.
 
-Texts are cut where no token of the vocabulary can cross, each piece goes through
-the library's own normaliser, pre-tokeniser and merge model, and its ids are
-remembered.  Texts whose white space makes cutting unsafe are encoded whole by
-the library.  The ids are those of ``encode`` without special tokens.
+Texts are cut at white space where no token of the vocabulary can cross.  Words
+that a worker doesn't remember are encoded by the library in one call for a whole
+batch of texts, set apart by a special token, and their ids are remembered.  Texts
+whose white space makes cutting unsafe, and texts that hold a special token's own
+letters, are encoded whole by the library.  The ids are those of ``encode`` with
+``add_special_tokens=False``.
+
+Defined cases: a null text is empty and has no ids.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries in the young half of a cache of pieces and of parts of pieces.
-PIECES, PARTS = 350_000, 250_000
+#: Words in the young half of the cache, and words that the library gets at once.
+WORDS, AT_ONCE = 300_000, 100
 #: White space beyond ASCII, and separators on which libraries differ.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-#: Runs of white space, or white space other than blanks and newlines between words.
-_RUNS = re.compile(r"[ \n][ \n]|[\t\r\v\f]|\A[ \n]|[ \n]\Z")
-_PIECE = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-_STOPS = frozenset(".,;:!?")
-
-
-def _packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+_ODD_ASCII = "\x1c\x1d\x1e\x1f"
+#: Runs of white space, or white space other than blanks and newlines.
+_RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f")
 
 
 def byte_letters() -> dict[int, str]:
@@ -34,78 +35,80 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
-class Remembered(dict):
-    """A cache of two generations: entries that aren't asked for again are forgotten."""
-
-    def __init__(self, make, young: int):
-        super().__init__()
-        self.make, self.young, self.old = make, young, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-    def age(self) -> None:
-        if len(self) > self.young:
-            self.old = dict(self)
-            self.clear()
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
     A vocabulary without a normaliser is byte-level: a blank belongs to the word
-    after it.  With others white space only separates.
+    after it.  With others white space only separates.  The cache has two
+    generations: words that aren't asked for again are forgotten.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.spaced = self.whole.normalizer is None
-        normaliser, before, model = self.whole.normalizer, self.whole.pre_tokenizer, self.whole.model
-        letters = str.maketrans({chr(b): c for b, c in byte_letters().items()})
-        self.parts = parts = Remembered(lambda part: _packed([t.id for t in model.tokenize(part)]), PARTS)
-
-        def piece(text: str) -> bytes:
-            if normaliser is not None:
-                text = normaliser.normalize_str(text)
-            return b"".join([parts[p] for p, _ in before.pre_tokenize_str(text)])
-
-        def word(text: str) -> bytes:
-            """A piece of letters, and a mark at most, is cut as the pre-tokeniser would."""
-            end = ""
-            if text[-1] in _STOPS:
-                text, end = text[:-1], text[-1]
-            if not text.isalpha():
-                return piece(text + end if text[:1] == "\n" or not self.spaced else " " + text + end)
-            if not self.spaced:
-                text = normaliser.normalize_str(text)
-                if not text.isalpha():
-                    return piece(text + end)
-            if not text.isascii():
-                text = text.encode().decode("latin-1").translate(letters)
-            ids = parts["Ġ" + text if self.spaced else text]
-            return ids + parts[end] if end else ids
-
-        self.piece = piece
-        self.pieces, self.words = Remembered(piece, PIECES), Remembered(word, PIECES)
-
-    def encode(self, text: str) -> bytes:
-        for cache in (self.pieces, self.words, self.parts):
-            cache.age()
-        if not text:
-            return b""
-        if _ODD.search(text):
-            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
+        added = self.whole.get_added_tokens_decoder()
+        self.apart = next(((t.content, i) for i, t in sorted(added.items()) if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)), None)
+        self.special = tuple({t.content for t in added.values()} | {t.content.lower() for t in added.values() if t.normalized})
+        self.folded = any(t.normalized for t in added.values())
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of ``words``."""
+        for a in range(0, len(words), AT_ONCE):
+            own = some = words[a : a + AT_ONCE]
+            if self.spaced:  # how a word stands in its text: first, after a newline or after a blank
+                some = [w[1:] if w[:1] == "\r" else w if w[:1] == "\n" else " " + w for w in own]
+            if self.apart is None:
+                ids = [e.ids for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
+                self.young.update(zip(own, map(_packed, ids)))
+                continue
+            mark, number = self.apart
+            ids = np.array(self.whole.encode_batch_fast([mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stop = np.append(np.flatnonzero(ids == number), len(ids)) * 4
+            if len(stop) != len(some):
+                raise ValueError("a word holds a special token")
+            raw = ids.tobytes()
+            self.young.update(zip(own, [raw[x:y] for x, y in zip(np.append(0, stop[:-1] + 4).tolist(), stop.tolist())]))
+
+    def _words(self, text: str) -> list[str] | None:
+        """The words whose ids, end to end, are the text's; None if it can't be cut."""
+        if (any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD.search(text)) or any(t in text for t in self.special) or self.folded and any(t in text.lower() for t in self.special):
+            return None
         if not self.spaced:
-            return b"".join(map(self.words.__getitem__, text.split()))
-        if _RUNS.search(text):
-            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return self.piece(first) + b"".join(map(self.words.__getitem__, rest))
+            return text.split()
+        if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS):
+            return None
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = "\r" + words[0]  # the mark of a first word: no text that is cut has it
+        return words
+
+    def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
+        texts = [t or "" for t in texts]
+        cut = [self._words(t) if t else [] for t in texts]
+        if len(self.young) > WORDS:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = set(chain.from_iterable(filter(None, cut))).difference(young)
+        known = [w for w in new if w in old]
+        young.update(zip(known, map(old.__getitem__, known)))
+        if len(known) < len(new):
+            self._learn(list(new.difference(known)))
+        get = young.__getitem__
+        out = []
+        for text, words in zip(texts, cut):
+            if words is None:
+                out.append(_packed(self.whole.encode(text, add_special_tokens=False).ids))
+            else:
+                out.append(b"".join(map(get, words)) if words else b"")
+        return out
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -114,5 +117,6 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One for each vocabulary and Python worker."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = Encoder(path)
     return _encoders[path]

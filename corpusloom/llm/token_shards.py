@@ -15,8 +15,9 @@ lengths (u32 each); document identifiers (i64 each); document starts (u64 each);
 symbols.
 
 Defined cases: a null text is empty and still gets its end id; rows that repeat
-an identifier follow each other, in the order of their texts; an empty table
-makes no shard; other columns don't matter.
+an identifier follow each other, in the order of their texts; a null identifier
+stays null and comes first; an empty table makes no shard; other columns, whatever
+their names, don't matter.
 """
 
 from __future__ import annotations
@@ -31,68 +32,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, tune
+from .common import col, materialise, partitions, tune
 from .encode import encoder
 
 _MAGIC = b"RPG1"
+#: Stands for a null identifier in a shard; it comes first.
+NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sIIIIIQ")
 #: Ids that close a shard.
 SHARD_IDS = 1 << 19
-#: Rounds of replacement, rules in a shard, uses that pay for a rule.
-ROUNDS, MAX_RULES, MIN_USES = 8, 12_000, 6
+#: Uses that pay for a rule.
+MIN_USES = 6
 
 _SHARD_DDL = "part int, shard int, base long, n_ids long, n_docs long, payload binary"
 _SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("base", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())])
 
 
-def compress(ids: np.ndarray, first: int, rounds: int = ROUNDS, max_rules: int = MAX_RULES, least: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, first: int, least: int = MIN_USES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols and the rules' left and right sides; symbols from ``first`` on are rules.
 
-    A round counts pairs in hashed slots, exactly for one pair of each slot (another
-    that shares its slot waits for a later round), and replaces the most frequent.
+    Rounds go on until no pair of neighbours is used ``least`` times.  A round counts pairs in hashed
+    slots, exactly for one pair of each slot (another that shares its slot waits for a later round), and
+    replaces all that are frequent.  A pair only grows rarer, so from the second round on just those that
+    hold a new symbol, or wait, are counted.
     """
-    seq = ids.astype(np.uint64)
-    lefts, rights = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bits = 20
-    for _ in range(rounds):
-        room = max_rules - len(lefts)
-        if len(seq) < 2 * least or room <= 0:
+    seq, live = ids.astype(np.uint32), np.ones(max(0, len(ids) - 1), bool)
+    lefts, rights, rules = [], [], 0
+    while True:
+        at = np.flatnonzero(live)
+        if len(at) < least:
             break
-        key = seq[:-1] << np.uint64(32) | seq[1:]
-        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+        bits = max(10, min(20, len(at).bit_length()))
+        key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
         owner = np.zeros(1 << bits, np.uint64)
         owner[slot] = key
-        own = np.flatnonzero(owner[slot] == key)
-        slot = slot[own]
-        count = np.bincount(slot, minlength=1 << bits)
-        chosen = np.flatnonzero(count >= least)
-        if len(chosen) > room:
-            chosen = chosen[np.argsort(-count[chosen], kind="stable")[:room]]
-        rule = np.full(1 << bits, -1, np.int32)
-        rule[chosen] = np.arange(len(chosen))
-        which = rule[slot]
-        hit = which >= 0
-        at, which = own[hit], which[hit]
+        mine = owner[slot] == key
+        count = np.bincount(slot[mine], minlength=1 << bits)
+        often = mine & (count[slot] >= least)
+        live[at[mine & ~often]] = False
+        place, slot = at[often], slot[often]
+        if not len(place):
+            continue
         # neighbouring places overlap: of each run of them take every other one
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = np.diff(at) > 1
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        odd = (np.arange(len(at)) - run) % 2 == 0
-        at, which = at[odd], which[odd]
-        kept = np.bincount(which, minlength=len(chosen)) >= 3
-        if not kept.any():
-            break
-        use = kept[which]
-        at, which = at[use], which[use]
-        number = np.cumsum(kept) - 1 + first + len(lefts)
-        pairs = owner[chosen[kept]]
-        seq[at] = number[which]
+        fresh = np.ones(len(place), bool)
+        fresh[1:] = np.diff(place) > 1
+        run = np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
+        odd = (np.arange(len(place)) - run) % 2 == 0
+        used = np.bincount(slot[odd], minlength=1 << bits)
+        live[place[used[slot] < 3]] = False
+        odd &= used[slot] >= 3
+        place, slot = place[odd], slot[odd]
+        if not len(place):
+            continue
+        number = np.zeros(1 << bits, np.uint32)
+        made = np.flatnonzero(used >= 3)
+        number[made] = np.arange(first + rules, first + rules + len(made))
+        lefts.append((owner[made] >> np.uint64(32)).astype(np.int64))
+        rights.append((owner[made] & np.uint64(0xFFFFFFFF)).astype(np.int64))
+        rules += len(made)
+        seq[place] = number[slot]
+        live[place] = True
+        live[place[place > 0] - 1] = True
         stays = np.ones(len(seq), bool)
-        stays[at + 1] = False
+        stays[place + 1] = False
         seq = seq[stays]
-        lefts = np.concatenate([lefts, (pairs >> np.uint64(32)).astype(np.int64)])
-        rights = np.concatenate([rights, (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)])
-    return seq, lefts, rights
+        # a pair that lost its right side is now the one with the new symbol's right neighbour
+        live = live[stays[:-1]][: len(seq) - 1]
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return seq, join(lefts), join(rights)
 
 
 def lengths_of(lefts: np.ndarray, rights: np.ndarray, first: int) -> np.ndarray:
@@ -105,18 +113,48 @@ def lengths_of(lefts: np.ndarray, rights: np.ndarray, first: int) -> np.ndarray:
     return out
 
 
+class Grammar:
+    """Expansions of all rules end to end, so symbols expand in one step."""
+
+    def __init__(self, lefts: np.ndarray, rights: np.ndarray, first: int, lengths: np.ndarray | None = None):
+        self.first = first
+        self.lengths = lengths_of(lefts, rights, first) if lengths is None else lengths
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.zeros(int(self.lengths.sum()), np.uint32)
+        level = np.zeros(len(lefts), np.int64)
+        while True:  # a pass for each nesting
+            want = level.copy()
+            for side in (lefts, rights):
+                inner = side >= first
+                want[inner] = np.maximum(want[inner], level[side[inner] - first] + 1)
+            if np.array_equal(want, level):
+                break
+            level = want
+        for k in range(int(level.max(initial=-1)) + 1):
+            own = np.flatnonzero(level == k)
+            out = self.expand(np.stack([lefts[own], rights[own]], 1).ravel())
+            n = self.lengths[own]
+            self.flat[np.repeat(self.starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = out
+
+    def sizes(self, seq: np.ndarray) -> np.ndarray:
+        size = np.ones(len(seq), np.int64)
+        inner = seq >= self.first
+        size[inner] = self.lengths[seq[inner] - self.first]
+        return size
+
+    def expand(self, seq: np.ndarray) -> np.ndarray:
+        inner = seq >= self.first
+        n = self.sizes(seq)
+        out = np.repeat(seq.astype(np.uint32), n)
+        held = np.repeat(inner, n)
+        rule = seq[inner] - self.first
+        n = self.lengths[rule]
+        out[held] = self.flat[np.repeat(self.starts[rule] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return out
+
+
 def expand(seq: np.ndarray, lefts: np.ndarray, rights: np.ndarray, first: int) -> np.ndarray:
-    seq = seq.astype(np.int64)
-    while len(at := np.flatnonzero(seq >= first)):
-        rule = seq[at] - first
-        out = np.empty(len(seq) + len(at), np.int64)
-        wide = np.zeros(len(seq), np.int64)
-        wide[at] = 1
-        place = np.arange(len(seq)) + np.cumsum(wide) - wide
-        out[place] = seq
-        out[place[at]], out[place[at] + 1] = lefts[rule], rights[rule]
-        seq = out
-    return seq
+    return Grammar(lefts, rights, first).expand(seq.astype(np.int64))
 
 
 def pack(docs: list[tuple[int, np.ndarray]], first: int) -> bytes:
@@ -153,23 +191,19 @@ class Shard:
         self.lefts, self.rights, self.lengths = (take("<u4", rules).astype(np.int64) for _ in range(3))
         self.doc_ids, self.starts = take("<i8", docs), take("<u8", docs).astype(np.int64)
         self.seq = take(f"<u{width}", symbols).astype(np.int64)
-        self._ends: np.ndarray | None = None
+        self.grammar = Grammar(self.lefts, self.rights, self.first, self.lengths)
+        self._ends = np.cumsum(self.grammar.sizes(self.seq))
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.seq, self.lefts, self.rights, self.first)
+        return self.grammar.expand(self.seq)
 
     def read(self, start: int, n: int) -> np.ndarray:
         """Ids ``start`` to ``start + n``, expanding only the symbols that cover them."""
         if n <= 0:
-            return np.zeros(0, np.int64)
-        if self._ends is None:
-            size = np.ones(len(self.seq), np.int64)
-            inner = self.seq >= self.first
-            size[inner] = self.lengths[self.seq[inner] - self.first]
-            self._ends = np.cumsum(size)
+            return np.zeros(0, np.uint32)
         a, b = np.searchsorted(self._ends, start, "right"), np.searchsorted(self._ends, start + n)
         before = int(self._ends[a - 1]) if a else 0
-        return expand(self.seq[a : b + 1], self.lefts, self.rights, self.first)[start - before : start - before + n]
+        return self.grammar.expand(self.seq[a : b + 1])[start - before : start - before + n]
 
     def document(self, k: int) -> np.ndarray:
         stop = self.starts[k + 1] if k + 1 < len(self.starts) else self.n_ids
@@ -188,9 +222,9 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, shard, base, held, len(docs), pack(docs, first)), _SHARDS)], schema=_SHARDS)
 
     for b in batches:
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids = np.frombuffer(enc.encode(text or "") + end, "<u4")
-            docs.append((i, ids))
+        for i, own in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist())):
+            ids = np.frombuffer(own + end, "<u4")
+            docs.append((NO_ID if i is None else i, ids))
             held += len(ids)
             if held >= SHARD_IDS:
                 yield flush()
@@ -202,7 +236,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
 def write_token_shards(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table of shards: part, shard (in its part), base (ids of the part before it), n_ids, n_docs, payload."""
     spark = tune(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(col(docs, id_col).cast("long").alias("id"), col(docs, text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", "text")
     return materialise(ordered.mapInArrow(partial(_write, path=path, end_id=end_id), _SHARD_DDL), "token-shards")
 
@@ -211,11 +245,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part, base, payload in zip(*(b.column(c).to_pylist() for c in ("part", "base", "payload"))):
             s = Shard(payload)
-            ids = s.all_ids().astype("<u4")
             stops = np.append(s.starts[1:], s.n_ids)
-            crc = [zlib.crc32(ids[x:y]) for x, y in zip(s.starts.tolist(), stops.tolist())]
+            crc = [zlib.crc32(s.document(k).astype("<u4")) for k in range(len(s.doc_ids))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(s.doc_ids, pa.int64()), pa.array(np.full(len(crc), part), pa.int32()), pa.array(s.starts + base, pa.int64()), pa.array(stops - s.starts, pa.int64()), pa.array(crc, pa.int64())],
+                [pa.array(s.doc_ids, pa.int64(), mask=s.doc_ids == NO_ID), pa.array(np.full(len(crc), part), pa.int32()), pa.array(s.starts + base, pa.int64()), pa.array(stops - s.starts, pa.int64()), pa.array(crc, pa.int64())],
                 names=["id", "part", "local", "n_tokens", "ids_crc32"],
             )
 

@@ -43,11 +43,11 @@ WORD_SLOTS, GRAM_SLOTS = 1 << 13, 1 << 15
 GRAMS = (3, 4, 5)
 EPOCHS, BATCH, RATE = 6, 512, 0.01
 #: Windows that are scored at once.
-BATCH_SCORED = 2048
+BATCH_SCORED = 1024
 #: Steps that a small sample is trained for at least.
 LEAST_STEPS = 120
 #: Words whose input projections a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 
 _APART = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
@@ -247,12 +247,15 @@ class Scorer:
     def score(self, texts: list[str | None]) -> np.ndarray:
         split = [words_of(t) for t in texts]
         if len(self.number) > REMEMBERED:
-            self.number, self.rows = {}, self.rows[:1]
+            self.number = {}
         number = self.number
         new = list({w for words in split for w in words if w not in number})
         if new:
-            number.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.rows = np.concatenate([self.rows, self.net.project(new)])
+            at = len(number) + 1  # row 0 is padding
+            if at + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows[:at], np.zeros((max(len(new), 20_000), 6 * HIDDEN), np.float32)])
+            self.rows[at : at + len(new)] = self.net.project(new)
+            number.update(zip(new, range(at, at + len(new))))
         size = [len(w) for w in split]
         # one row of places for all texts, each followed by a window of padding (row 0)
         flat = np.zeros(sum(size) + WINDOW * len(split), np.int64)

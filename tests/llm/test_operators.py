@@ -92,7 +92,6 @@ def test_grammar_round_trip_and_random_access():
 
 def shards_brute(rows):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, at = [], 0
     for i, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
@@ -105,7 +104,7 @@ def test_token_shards(spark, odd):
     def run(df):
         return token_shards.read_token_shards(token_shards.write_token_shards(df, P.path("byte_bpe_50k.json"), 2))
 
-    assert sorted(map(tuple, run(odd).collect())) == sorted(shards_brute(texts_of(odd)))
+    assert plain(run(odd).collect()) == sorted(shards_brute(texts_of(odd)))
     assert run(odd.limit(0)).count() == 0
 
 
@@ -116,8 +115,8 @@ def test_token_shards_query(spark, pairs):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_is_the_library(name, pairs):
     e, t = encode.Encoder(P.path(name)), Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
-    for text in [x or "" for x in ODD] + [x for _, x in pairs[:40]] + ["a . , b", "é. x", "\n", "a\n", " a", "ŉ, y", "क्षि. x"]:
+    assert e.encode("x<|endoftext|>y") != e.encode("x<|endoftext |>y")
+    for text in [x or "" for x in ODD] + [x for _, x in pairs[:40]] + ["a . , b", "é. x", "\n", "a\n", " a", "ŉ, y", "क्षि. x", "é \u0301x a", "x<|endoftext|>y", "X <|EndOfText|> y", "a\nb c\nd", "<|startoftext|> q"]:
         assert np.frombuffer(e.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text[:50]
 
 
@@ -276,7 +275,6 @@ def test_url_filter(spark):
 
 def check_packing(rows, got, limit=4096):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = []
     for i, text in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -301,14 +299,14 @@ def test_packing_query(spark, pairs):
 
 def test_packing_odd(spark, odd):
     path = P.path("word_bpe_49k.json")
-    check_packing(texts_of(odd), list(map(tuple, packing.pack_documents(odd, path, 1, limit=64).collect())), 64)
+    check_packing(texts_of(odd), plain(packing.pack_documents(odd, path, 1, limit=64).collect()), 64)
     assert packing.pack_documents(odd.limit(0), path, 1).count() == 0
 
 
 def test_plan_covers_the_histogram():
     g = random.Random(3)
     for histogram in ({}, {4096: 3}, {2049: 7}, {1: 10_000}, {g.randint(1, 4096): g.randint(1, 50) for _ in range(300)}):
-        plan = packing.plan(histogram, 4096, rounds=20)
+        plan = packing.plan(histogram, 4096)
         total = Counter()
         for config, times in plan:
             assert sum(config) <= 4096 and times > 0
@@ -317,6 +315,23 @@ def test_plan_covers_the_histogram():
         assert total == Counter(histogram)
 
 
+def test_program_carries_the_plan():
+    """The solution covers every length, most tokens go by whole configurations, and it needs no more than best-fit alone."""
+    g = random.Random(5)
+    mixed = {n: g.randint(100, 3000) for n in g.sample(range(20, 4096), 250)}
+    thirds = {1366: 3000, 1365: 3000, 2731: 2000, 1200: 500, 2896: 500}
+    for histogram in (mixed, thirds):
+        covered: Counter = Counter()
+        for config, x in packing.solve(histogram, 4096):
+            assert sum(n * k for n, k in config.items()) <= 4096 and x > 0
+            for n, k in config.items():
+                covered[n] += k * x
+        assert all(covered[n] >= c * (1 - 1e-9) for n, c in histogram.items())
+        count = lambda plan: sum(times for _, times in plan)
+        assert count(packing.plan(histogram, 4096)) <= count(packing.rounded(histogram, 4096, [], 0)) * 1.004
+    assert count(packing.plan(thirds, 4096)) < count(packing.rounded(thirds, 4096, [], 0))
+
+
 # -- jaccard join ---------------------------------------------------------------
 
 
