@@ -125,12 +125,25 @@ def _residual(word: str, rv: int) -> str:
     return word
 
 
+class _Stems(dict):
+    """Stems of the words that a worker has met; forgotten when there are many."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = out = stem(word)
+        return out
+
+
+_STEMS = _Stems()
+
+
 def stem_tokens(tokens: Column) -> Column:
-    """Stems of an array of words, in Arrow batches."""
+    """Stems of an array of words, in Arrow batches; each distinct word is stemmed once a worker."""
 
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda words: None if words is None else [stem(w) for w in words])
+            yield s.map(lambda words: None if words is None else list(map(_STEMS.__getitem__, words)))
 
     return run(tokens)

@@ -49,9 +49,9 @@ def validate(texts: DataFrame) -> DataFrame:
 
 
 def frames_wide(frames: DataFrame, names: tuple[str, ...] = FRAMES) -> DataFrame:
-    """A row for each document: the last (by evidence) of each fixed frame, wide."""
+    """A row for each document: the last (by ``seq``) of each fixed frame, wide."""
     out = []
     for f in names:
-        last = F.max_by(F.struct("present", "evidence"), F.when(F.col("frame") == f, F.col("evidence")))
+        last = F.max_by(F.struct("present", "evidence"), F.when(F.col("frame") == f, F.col("seq")))
         out += [last["present"].alias(f"frame_{f}"), last["evidence"].alias(f"frame_{f}_evidence")]
     return frames.groupBy("id").agg(*out)

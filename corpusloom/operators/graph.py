@@ -76,12 +76,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame, most_rounds: int =
 
 
 def _checkpointing(df: DataFrame) -> bool:
-    """Make sure there is a checkpoint folder: the session's, or a temporary one in tests."""
+    """Make sure there is a checkpoint folder: the session's, or one of its own for a session in one process."""
+    import re
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="corpusloom-"))
     return True
 
 

@@ -43,11 +43,11 @@ def triples(relations: DataFrame, entity_of: DataFrame, type_of: DataFrame, mode
 
 
 def events_resolved(events: DataFrame, entity_of: DataFrame, type_of: DataFrame) -> DataFrame:
-    """Typed events with the roles whose mention has an identity."""
+    """Typed events with the roles whose mention has an identity; an empty map where none has."""
     typed = events.join(type_of.where("type_id is not null"), "event_id")
     roles = typed.select("event_id", "id", F.explode("arguments").alias("role", "local")).withColumn("mention_id", key_of("id", "local"))
     known = roles.join(entity_of.where("entity_id is not null"), "mention_id").groupBy("event_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "entity_id")))).alias("arguments"))
-    return typed.drop("arguments").join(known, "event_id", "left").select("event_id", F.col("type_id").alias("event_type_id"), F.col("id").alias("doc_id"), "trigger", "arguments", "confidence")
+    return typed.drop("arguments").join(known, "event_id", "left").select("event_id", F.col("type_id").alias("event_type_id"), F.col("id").alias("doc_id"), "trigger", F.coalesce("arguments", F.create_map().cast("map<string,string>")).alias("arguments"), "confidence")
 
 
 def coverage(total: DataFrame, resolved: DataFrame, name: str) -> DataFrame:

@@ -112,11 +112,9 @@ ways AS (SELECT a, b FROM net UNION ALL SELECT b, a FROM net), nodes AS (SELECT
 _PARTS = """
 WITH RECURSIVE {base}, reach(node, other) AS (SELECT node, node FROM {nodes} UNION SELECT r.node, w.b FROM reach r JOIN {ways} w ON w.a = r.other)
 SELECT node, min(other) AS component FROM reach GROUP BY node"""
-_SIGNS = ", ".join("'{}:' || {}".format(k, " || ".join(f"CASE WHEN embedding[{8 * k + j + 1}] > 0 THEN '1' ELSE '0' END" for j in range(8))) for k in range(8))
 _COS = "list_dot_product({0}::DOUBLE[], {1}::DOUBLE[]) / (sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[])) * sqrt(list_dot_product({1}::DOUBLE[], {1}::DOUBLE[])))"
 _NEAR = f"""
-keyed AS (SELECT vec_id, embedding, unnest([{_SIGNS}]) AS band FROM embeddings),
-near AS (SELECT DISTINCT x.vec_id AS a, y.vec_id AS b FROM keyed x JOIN keyed y ON x.band = y.band AND x.vec_id < y.vec_id WHERE {_COS.format('x.embedding', 'y.embedding')} > 0.35),
+near AS (SELECT DISTINCT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id WHERE {_COS.format('x.embedding', 'y.embedding')} > 0.35),
 near_ways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), vecs AS (SELECT vec_id AS node FROM embeddings)"""
 _CENTROIDS = "dims AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2), cent AS (SELECT label, list(m ORDER BY i) AS centroid FROM dims GROUP BY 1)"
 _BASE_E = _with(_ENTITIES)

@@ -234,10 +234,10 @@ def softmax_threshold(spark, d):
 
 
 class _Graph:
-    """The tables of the knowledge phase, built lazily from one native extraction."""
+    """The tables of the knowledge phase.  Texts are read once: every branch starts from the kept names."""
 
     def __init__(self, spark: SparkSession, d: str):
-        e = A.extractions(spark, d)
+        e = A.from_names(graph.materialise(A.names(spark, d)))
         self.articles = A.articles(spark, d)
         self.mentions, self.relations, self.events = extract.mentions(e), extract.relations(e), extract.events(e)
         self.clusters = canon.mention_clusters(self.mentions)

@@ -42,10 +42,18 @@ def _local(prefix: str, i: Column) -> Column:
     return F.concat(F.lit(prefix), F.lpad(i.cast("string"), 3, "0"))
 
 
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and the first names of each article: the one step of the extraction that reads texts."""
+    found = F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"\p{Lu}\p{Ll}{3,}"), 0)), 1, 8)
+    return articles(spark, sf_dir).select("id", found.alias("names"))
+
+
 def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_names(names(spark, sf_dir))
+
+
+def from_names(docs: DataFrame) -> DataFrame:
     """id and native entities, relations, events: rule-made from capitalised words, no shuffle."""
-    names = F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"\p{Lu}\p{Ll}{3,}"), 0)), 1, 8)
-    docs = articles(spark, sf_dir).select("id", names.alias("names"))
     entity = lambda x, k: F.struct(_local("e", k + 1).alias("id"), x.alias("name"), _pick(ENTITY_TYPES, F.length(x)).alias("type"), _pick(CONFIDENCE, F.length(x)).alias("confidence"))
     size = F.size("names")
     numbers = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
@@ -86,8 +94,8 @@ def argument_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, frame, present, evidence: four rows a document."""
-    structs = [F.struct(F.lit(f).alias("frame"), F.contains(F.lower("body"), F.lit(t)).alias("present"), F.when(F.contains(F.lower("body"), F.lit(t)), F.lit(t)).otherwise("").alias("evidence")) for f, t in FRAME_TOKENS.items()]
+    """id, seq, frame, present, evidence: four rows a document."""
+    structs = [F.struct(F.lit(k).alias("seq"), F.lit(f).alias("frame"), F.contains(F.lower("body"), F.lit(t)).alias("present"), F.when(F.contains(F.lower("body"), F.lit(t)), F.lit(t)).otherwise("").alias("evidence")) for k, (f, t) in enumerate(FRAME_TOKENS.items())]
     return articles(spark, sf_dir).select("id", F.inline(F.array(*structs)))
 
 
