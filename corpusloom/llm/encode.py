@@ -20,7 +20,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Words in the young half of the cache, and words that the library gets at once.
-WORDS, AT_ONCE = 300_000, 100
+WORDS, AT_ONCE = 200_000, 100
 #: White space beyond ASCII, and separators on which libraries differ.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _ODD_ASCII = "\x1c\x1d\x1e\x1f"

@@ -42,7 +42,7 @@ from .common import col, materialise, partitions, tune
 from .shingles import mix
 
 #: Bytes of text in a block, what is sorted at once, and what arrives before equal records are settled.
-BLOCK_BYTES, SORT_BYTES, SETTLE_BYTES = 4 << 20, 3 << 20, 16 << 20
+BLOCK_BYTES, SORT_BYTES, SETTLE_BYTES = 2 << 20, 3 << 20, 16 << 20
 #: Level of compression of blocks and records.
 LEVEL = 6
 #: Bytes of an anchor.
