@@ -38,7 +38,7 @@ from .encode import encoder
 
 #: How much of a length's demand a round may cover, how fast prices fall with coverage, how near to the
 #: highest price a configuration must be.
-STEP, RATE, NEAR = 0.5, 2.5, 0.08
+STEP, RATE, NEAR = 1.0, 2.0, 0.1
 #: Shares of the solution that roundings take.
 SHARES = (1.0, 0.8, 0.5, 0.2)
 #: Configurations without a step after which a round ends.
