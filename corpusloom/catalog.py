@@ -1,8 +1,9 @@
-"""Driver queries of the analytics operators and their SQL twins."""
+"""The queries and SQL twins of the analytics operators."""
 
-from __future__ import annotations
+from .plans import asking, queries, reporting
+from .plans.oracles import ORACLES as _ORACLES
 
-from .plans.oracles import ORACLES
-from .plans.queries import QUERIES
+QUERIES = queries.QUERIES | asking.QUERIES | reporting.QUERIES
+ORACLES = _ORACLES | asking.SQL | reporting.SQL
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import chat, flow
+
 
 def cluster_by(df: DataFrame, key: str, group: Column, prefix: Column, least: int) -> DataFrame:
     """(key, cluster_id): groups of ``least`` or more rows; others are noise (null)."""
@@ -94,3 +98,36 @@ def prompt(inputs: DataFrame) -> DataFrame:
     """The text a linker would be asked: names, type and the heads of contexts."""
     heads = F.array_join(F.transform("contexts", lambda c: F.substring(c, 1, 200)), "\n- ")
     return inputs.select("cluster_id", F.concat(F.lit("Type: "), "type", F.lit("\nNames: "), F.array_join("mentions", ", "), F.lit("\n- "), heads).alias("prompt"))
+
+
+def _listing(title: str, values: str) -> Column:
+    return F.concat(F.lit(f"{title}: "), F.array_join(values, " | "))
+
+
+def link_prompt(inputs: DataFrame) -> DataFrame:
+    """What ``chat.Linker`` asks; a null type is left empty."""
+    heads = F.array_join(F.transform("contexts", lambda c: F.concat(F.lit("\n- "), F.substring(c, 1, 200))), "")
+    return inputs.select("cluster_id", F.concat(F.lit("Type: "), F.coalesce("type", F.lit("")), F.lit("\n"), _listing("Names", "mentions"), F.lit("\nContexts:"), heads).alias("prompt"))
+
+
+def relation_prompt(inputs: DataFrame) -> DataFrame:
+    """What ``chat.RelationNamer`` asks: the expressions and where they were used."""
+    uses = F.array_join(F.transform("evidences", lambda e: F.concat(F.lit("\n- "), e)), "")
+    return inputs.select("cluster_id", F.concat(_listing("Expressions", "relations"), F.lit("\nUses:"), F.coalesce(uses, F.lit(""))).alias("prompt"))
+
+
+def event_prompt(inputs: DataFrame) -> DataFrame:
+    """What ``chat.EventNamer`` asks: the types and their triggers."""
+    return inputs.select("cluster_id", F.concat(_listing("Types", "event_types"), F.lit("\n"), F.coalesce(_listing("Triggers", "triggers"), F.lit(""))).alias("prompt"))
+
+
+def link_entities(prompts: DataFrame, provider: chat.Provider, gazetteer: DataFrame) -> DataFrame:
+    """cluster_id, entity_id, canonical, wikidata_id (of entities that aren't new), is_new; failed clusters are left out."""
+    named = flow.drop_failed(flow.run_backend(prompts, lambda: chat.Linker(provider), chat.Linker.schema, "cluster_id"))
+    return lookup_kb(named.withColumn("entity_id", identity("ent_", F.col("cluster_id"))), gazetteer).select("cluster_id", "entity_id", "canonical", "wikidata_id", "is_new")
+
+
+def name_types(prompts: DataFrame, make: Callable[[], chat.ChatRows], prefix: str) -> DataFrame:
+    """cluster_id, type_id, canonical, description; failed clusters are left out."""
+    named = flow.drop_failed(flow.run_backend(prompts, make, chat.RelationNamer.schema, "cluster_id"))
+    return named.select("cluster_id", identity(prefix, F.col("cluster_id")).alias("type_id"), "canonical", "description")

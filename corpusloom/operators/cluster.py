@@ -286,6 +286,17 @@ def hashing_embedder(df: DataFrame, id_col: str, text_col: str, width: int = 64)
     return df.select(id_col, F.col(text_col).alias("_text")).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, embedding array<float>")
 
 
+#: The fields that each kind of row is embedded by.
+PRESETS = {"mentions": ("name", "body"), "relations": ("relation", "evidence"), "events": ("event_type", "trigger")}
+
+
+def embed_rows(rows: DataFrame, key: str, preset: str, width: int = 64) -> DataFrame:
+    """(key, embedding) of rows by the joined fields of a preset."""
+    from ..functions.text import join_fields
+
+    return hashing_embedder(rows.select(key, join_fields(*map(F.col, PRESETS[preset])).alias("_joined")), key, "_joined", width)
+
+
 def mean_pool(tokens: DataFrame, doc: str, word: str, vectors: DataFrame, size: int) -> DataFrame:
     """Mean of the known words' vectors of each document, zeros where none is known."""
     known = tokens.join(vectors.select(F.col("word").alias(word), "vector"), word)
@@ -321,16 +332,41 @@ def class_keywords(docs: DataFrame, topic: str, tokens: Column, n: int) -> DataF
     return top_per_group(weighted, topic, "weight", "word", n)
 
 
-def cosine_topk(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest rows of each query, exact, with all rows as neighbours.
+def cosine_topk(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int | None = None) -> DataFrame:
+    """(q, n, similarity, rank): the ``k`` nearest rows of each query, exact, with all rows as neighbours but itself.
 
-    Queries go round in blocks as one array each, so a row meets them without a join by key.
+    Blocks of queries meet blocks of rows, each pair in a task of its own as one product of
+    matrices, and only the best ``k`` of a query leave it.  Nothing is broadcast.  Ties go to the
+    smaller key; rows without a valid vector are neither queries nor neighbours.
     """
     from pyspark.sql.window import Window
 
-    asked = queries.select(F.col(key).alias("q"), F.col(vector).alias("qv"))
-    block = F.pmod(F.xxhash64("q"), F.lit(8))
-    blocks = F.broadcast(asked.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("q", "qv")).alias("_qs")))
-    rows = df.select(F.col(key).alias("n"), F.col(vector).alias("nv")).join(blocks)
-    scored = rows.select("n", "nv", F.explode("_qs").alias("x")).where("x.q <> n").select(F.col("x.q").alias("q"), "n", F.round(V.cosine_similarity(F.col("x.qv"), F.col("nv")), 6).alias("similarity"))
+    kind, size = dict(df.dtypes)[key], block or BLOCK
+    parts = lambda t: t.select(F.col(key).alias("_k"), F.col(vector).alias("_v")).where(V.valid_vector(F.col("_v")))
+    rows, asked = parts(df), parts(queries)
+    n_rows, n_asked = (-(-max(t.count(), 1) // size) for t in (rows, asked))
+    slot = lambda n: F.pmod(F.xxhash64("_k"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("_k", "_v", slot(n_asked).alias("_i"), every(n_rows).alias("_j"))
+    right = rows.select("_k", "_v", slot(n_rows).alias("_j"), every(n_asked).alias("_i"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"q": [], "n": [], "raw": []})
+        b = b.sort_values("_k")
+        keys, x = b["_k"].to_numpy(), unit_rows(np.array(b["_v"].tolist(), float)).T
+        own, y = a["_k"].to_numpy(), unit_rows(np.array(a["_v"].tolist(), float))
+        out = []
+        for at in range(0, len(own), 256):
+            raw = y[at : at + 256] @ x
+            raw[own[at : at + 256, None] == keys[None, :]] = -np.inf
+            best = np.argsort(-np.round(raw, 6), axis=1, kind="stable")[:, :k]  # keys are sorted: ties go to the smaller
+            found = np.take_along_axis(raw, best, axis=1)
+            q = np.repeat(own[at : at + 256], best.shape[1])
+            good = np.isfinite(found.ravel())
+            out.append(pd.DataFrame({"q": q[good], "n": keys[best.ravel()[good]], "raw": found.ravel()[good]}))
+        return pd.concat(out)
+
+    near = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(run, f"q {kind}, n {kind}, raw double")
+    scored = near.select("q", "n", F.round("raw", 6).alias("similarity"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "n"))).where(F.col("rank") <= k)

@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 from ..sources.adapters import CONFIDENCE, ENTITY, ENTITY_TYPES, EVENT, FRAMES, RELATION
 
 LISTS = {"entities": ENTITY, "relations": RELATION, "events": EVENT}
+_TEXT = T.StringType()
+ITEMS = LISTS | {
+    "frames": T.StructType([T.StructField("frame", _TEXT), T.StructField("present", T.BooleanType()), T.StructField("evidence", _TEXT)]),
+    "arguments": T.StructType([T.StructField(n, _TEXT) for n in ("sentence", "claimant", "argument_type", "target")]),
+}
 
 
 def parse(texts: DataFrame) -> DataFrame:
@@ -48,6 +53,30 @@ def validate(texts: DataFrame) -> DataFrame:
     return texts.select("id", items.alias("items")).select("id", F.when(F.col("items").isNull(), "malformed").when(bad, "invalid").alias("error"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_entities"))
 
 
+def _sound(kind: str, x: Column) -> Column:
+    """Does an item have all its fields, with values of the fixed sets where there are any?"""
+    fields = LISTS[kind].names if kind in LISTS else {"frames": ["frame", "present", "evidence"], "arguments": ["sentence", "argument_type"]}[kind]
+    ok = F.lit(True)
+    for f in fields:
+        ok = ok & x[f].isNotNull()
+    if kind in LISTS:
+        ok = ok & x["confidence"].isin(*CONFIDENCE)
+    if kind == "entities":
+        ok = ok & x["type"].isin(*ENTITY_TYPES)
+    if kind == "frames":
+        ok = ok & x["frame"].isin(*FRAMES)
+    return F.coalesce(ok, F.lit(False))
+
+
+def validate_lists(texts: DataFrame, kinds: list[str]) -> DataFrame:
+    """(id, kind, error, n) for each JSON column: ``malformed`` where it is no list, ``invalid`` where an
+    item lacks a field or has a value outside its set, else null; ``n`` items.  A null text is malformed.
+    """
+    parsed = texts.select("id", *(F.from_json(k, T.ArrayType(ITEMS[k])).alias(k) for k in kinds))
+    row = lambda k: F.struct(F.lit(k).alias("kind"), F.when(F.col(k).isNull(), "malformed").when(F.exists(k, lambda x: ~_sound(k, x)), "invalid").alias("error"), F.coalesce(F.size(k), F.lit(0)).cast("long").alias("n"))
+    return parsed.select("id", F.inline(F.array(*map(row, kinds))))
+
+
 def frames_wide(frames: DataFrame, names: tuple[str, ...] = FRAMES) -> DataFrame:
     """A row for each document: the last (by ``seq``) of each fixed frame, wide."""
     out = []

@@ -21,25 +21,29 @@ class RowBackend(Protocol):
     def process(self, rows: pd.DataFrame) -> pd.DataFrame: ...
 
 
-def run_backend(df: DataFrame, make: Callable[[], RowBackend], schema: str) -> DataFrame:
+def run_backend(df: DataFrame, make: Callable[[], RowBackend], schema: str, key: str = "id") -> DataFrame:
     """Rows of ``df`` through a backend, with a column ``error`` for batches it fails on.
 
-    A batch that fails is taken row by row, so one bad row spoils no other.
+    A batch that fails is taken row by row, so one bad row spoils no other.  A backend
+    that handles failures by itself gives the column ``error`` among its own.
     """
 
+    def settled(out: pd.DataFrame) -> pd.DataFrame:
+        return out if "error" in out.columns else out.assign(error=None)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = make()
         backend.open()
         for rows in batches:
             try:
-                yield backend.process(rows).assign(error=None)
+                yield settled(backend.process(rows))
             except Exception:
                 for k in range(len(rows)):
                     one = rows.iloc[k : k + 1]
                     try:
-                        yield backend.process(one).assign(error=None)
+                        yield settled(backend.process(one))
                     except Exception as e:
-                        yield pd.DataFrame({"id": one["id"], "error": [str(e)]})
+                        yield pd.DataFrame({key: one[key], "error": [str(e)]})
 
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
@@ -99,6 +103,11 @@ def merge_parts(parts: list[DataFrame], key: str, order: str) -> DataFrame | Non
     return keep_last(whole, key, order)
 
 
+def drop_failed(df: DataFrame, error: str = "error") -> DataFrame:
+    """Rows that didn't fail, without the error column: the policy that drops."""
+    return df.where(F.col(error).isNull()).drop(error)
+
+
 def sentinel(df: DataFrame, error: Column, values: dict[str, Column]) -> DataFrame:
     """Rows that failed get the given values."""
     return df.withColumns({c: F.when(error, v).otherwise(F.col(c)) if c in df.columns else F.when(error, v) for c, v in values.items()})

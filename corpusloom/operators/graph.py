@@ -23,6 +23,30 @@ def cooccurrence(rows: DataFrame, basket: list[str], node: str, least: int) -> D
     return pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= least)
 
 
+def actor_network(df: DataFrame, basket: list[str], least: int, prefix: str = "actor_") -> DataFrame:
+    """The co-occurrence network of a wide table's columns that start with ``prefix``: an actor is in a row where its
+    number is over 0.  A table without such columns gives no edges.
+    """
+    actors = [c for c in df.columns if c.startswith(prefix)]
+    if not actors:
+        return df.sparkSession.createDataFrame([], "a string, b string, weight long")
+    seen = F.filter(F.array(*(F.when(F.col(f"`{c}`") > 0, F.lit(c)) for c in actors)), lambda x: x.isNotNull())
+    return cooccurrence(df.select(*basket, F.explode(seen).alias("node")), basket, "node", least)
+
+
+def node_sizes(edges: DataFrame, sizes: DataFrame | None = None, scale: int = 100) -> DataFrame:
+    """(node, size): the given number of each node (node, value), 1 where it has none, or its degree, times ``scale``."""
+    degree = both_ways(edges).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("value"))
+    value = degree if sizes is None else degree.select("node").join(sizes.select("node", "value"), "node", "left")
+    return value.select("node", (F.coalesce("value", F.lit(1)) * scale).alias("size"))
+
+
+def node_groups(communities: DataFrame) -> DataFrame:
+    """(node, hue): a hue in [0, 1) for each community, evenly spread: what colours a drawing's nodes."""
+    n = F.broadcast(communities.agg(F.count_distinct("community").alias("_n")))  # one row
+    return communities.join(n).select("node", F.round(F.col("community") / F.col("_n"), 6).alias("hue"))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 

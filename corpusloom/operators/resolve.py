@@ -16,11 +16,15 @@ MODES = ("drop", "keep_null", "singleton")
 
 
 def _dimension(clusters: DataFrame, canon: DataFrame, key: str, found: str, mode: str) -> DataFrame:
-    """key -> identity; every key of ``clusters`` is there, unresolved ones with null."""
+    """key -> identity; every key of ``clusters`` is there, unresolved ones with null.
+
+    Of several rows of ``canon`` for one cluster the last by its column ``seq`` counts.
+    """
     if mode not in MODES:
         raise ValueError(f"unresolved must be one of {MODES}")
     at = own_key(F.col("cluster_id"), F.col(key)) if mode == "singleton" else F.col("cluster_id")
-    last = canon.groupBy("cluster_id").agg(F.max(found).alias(found)).withColumnRenamed("cluster_id", "_cluster")
+    value = F.max_by(found, "seq") if "seq" in canon.columns else F.max(found)  # without an order of rows, the largest
+    last = canon.groupBy("cluster_id").agg(value.alias(found)).withColumnRenamed("cluster_id", "_cluster")
     return clusters.select(key, at.alias("_cluster")).join(last, "_cluster", "left").select(key, found)
 
 

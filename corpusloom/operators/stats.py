@@ -72,3 +72,10 @@ def label_overlay(seed: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 def label_breakdown(labels: DataFrame) -> DataFrame:
     one, zero, none = (F.count_if(c) for c in (F.col("label") == 1, F.col("label") == 0, F.col("label").isNull()))
     return labels.agg(one.alias("n1"), zero.alias("n0"), none.alias("n_null"), F.round(100 * F.expr("try_divide(count_if(label = 1), count(label))"), 1).alias("percent1"))
+
+
+def dashboard(df: DataFrame, text: str, topic: str, group: str, bins: int = 50, most: int = 10) -> DataFrame:
+    """(panel, key, value): lengths by bin, the ``most`` frequent topics, sizes of groups, and a summary."""
+    line = lambda t, panel, key: t.select(F.lit(panel).alias("panel"), F.col(key).cast("string").alias("key"), F.col("n").cast("double").alias("value"))
+    s = length_stats(df, text).select(F.inline(F.array(*(F.struct(F.lit("summary").alias("panel"), F.lit(k).alias("key"), F.col(c).cast("double").alias("value")) for k, c in (("documents", "docs"), ("mean_length", "mean"), ("median_length", "median"))))))
+    return line(histogram(df, F.length(text), bins), "length", "bin").union(line(top_counts(df, topic, most), "topic", topic)).union(line(value_counts(df, group), "cluster", group)).union(s)

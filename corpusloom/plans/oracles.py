@@ -19,7 +19,7 @@ def _clean(x: str) -> str:
     return x
 
 
-_TOKENS = f"list_transform(list_filter(string_split({_clean('text')}, ' '), lambda w: length(w) > 2 AND NOT list_contains({_list(STOP_WORDS)}, w)), lambda w: translate(w, '{ACCENTED}', '{PLAIN}'))"
+_TOKENS = f"list_transform(list_filter(string_split({_clean('text')}, ' '), lambda w: length(w) > 2 AND NOT list_contains({_list(STOP_WORDS)}, w)), lambda w: CASE WHEN strlen(w) = length(w) THEN w ELSE translate(w, '{ACCENTED}', '{PLAIN}') END)"
 _TOK = f"tok AS (SELECT doc_id, lang, source, {_TOKENS} AS tokens FROM documents), words AS (SELECT doc_id, lang, unnest(tokens) AS word FROM tok)"
 
 # -- adapters -------------------------------------------------------------------
@@ -139,7 +139,7 @@ ORACLES: dict[str, str] = {
     "keyword_hits": "SELECT * FROM (SELECT doc_id, k AS keyword, ((length(t) - length(replace(t, k, ''))) // length(k))::BIGINT AS hits FROM (SELECT doc_id, lower(coalesce(text, '')) AS t, unnest(['the', 'der', 'les', 'que']) AS k FROM documents)) WHERE hits > 0",
     "term_frequencies": f"WITH {_TOK} SELECT word AS term, count(*) AS n FROM words GROUP BY 1",
     "vocab_size": f"WITH {_TOK} SELECT count(*) AS vocabulary FROM (SELECT word FROM words GROUP BY 1 HAVING count(*) >= 2)",
-    "doc_frequency_vocab": f"WITH {_TOK} SELECT word AS term, count(DISTINCT doc_id) AS df FROM words GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) <= 0.8 * (SELECT count(*) FROM documents) ORDER BY df DESC, term LIMIT 1000",
+    "doc_frequency_vocab": f"WITH {_TOK}, terms AS (SELECT doc_id, unnest(tokens) AS term FROM tok UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1])) FROM tok) SELECT term, count(DISTINCT doc_id) AS df FROM terms GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5 AND count(DISTINCT doc_id) <= 0.8 * (SELECT count(*) FROM documents) ORDER BY df DESC, term LIMIT 1000",
     "length_stats": "SELECT count(*) AS docs, round(avg(n), 6) AS mean, quantile_cont(n, 0.5)::DOUBLE AS median, min(n)::BIGINT AS least, max(n)::BIGINT AS most FROM (SELECT length(coalesce(text, '')) AS n FROM documents)",
     "length_histogram": "WITH v AS (SELECT length(text)::DOUBLE AS v FROM documents WHERE text IS NOT NULL), e AS (SELECT min(v) AS lo, max(v) AS hi FROM v) SELECT (CASE WHEN hi = lo THEN 0 ELSE least(floor((v - lo) * 50 / (hi - lo)), 49) END)::INT AS bin, count(*) AS n FROM v, e GROUP BY 1",
     "worker_range_partition": "WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders) SELECT ((k >= n * 1 // 3)::INT + (k >= n * 2 // 3)::INT)::BIGINT AS worker, count(*) AS n, min(o_orderkey) AS first, max(o_orderkey) AS last FROM r GROUP BY 1",

@@ -137,7 +137,7 @@ def vocab_size(spark, d):
 
 @query
 def doc_frequency_vocab(spark, d):
-    return stats.document_frequencies(_docs(spark, d), "doc_id", _words(), 5, 0.8, 1000)
+    return stats.document_frequencies(_docs(spark, d).select("doc_id", _words().alias("w")), "doc_id", X.with_bigrams(F.col("w")), 5, 0.8, 1000)
 
 
 @query
@@ -594,10 +594,3 @@ def nmf(spark, d):
 @query
 def pca(spark, d):
     return models.pca(A.table(spark, d, "embeddings"), "vec_id", "embedding")
-
-
-@query
-def hyper_search(spark, d):
-    words = stats.term_frequencies(_docs(spark, d), _words()).cache()
-    best, size = models.search(6, {"least": [2, 5, 10, 20]}, lambda least: words.where(F.col("n") >= least).count())
-    return spark.createDataFrame([(best["least"], int(size))], "least int, vocabulary long")

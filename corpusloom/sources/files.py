@@ -74,7 +74,3 @@ def save_artefacts(folder: str, tables: dict[str, DataFrame], summary: dict) ->
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
     spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
     spark.createDataFrame([(json.dumps(summary, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/summary")
-
-
-def export_edges(edges: DataFrame, path: str) -> None:
-    edges.write.mode("overwrite").option("sep", " ").csv(path)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import random
+import time
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -12,6 +14,10 @@ from pyspark.sql import functions as F
 _SKIPPED = frozenset({"script", "style", "nav", "footer", "aside", "noscript", "form"})
 _BLOCKS = frozenset({"p", "div", "h1", "h2", "h3", "h4", "li", "br", "section", "article", "tr"})
 FAILED = "fetch failed"
+#: Status, content type and bytes of a response.
+Response = tuple[int, str, bytes]
+#: Columns of a scraped article, after its identifier.
+SCRAPED = "media_name string, publish_date string, title string, url string, body string, keywords array<string>, error string"
 
 
 class _Reader(HTMLParser):
@@ -87,3 +93,97 @@ def fetch(urls: DataFrame, make: Callable[[], Callable[[str], tuple[str | None,
             yield pd.DataFrame({url_col: pdf[url_col], "html": [o[0] for o in out], "ok": [bool(o[1]) for o in out]})
 
     return urls.select(url_col).mapInPandas(run, f"{url_col} string, html string, ok boolean")
+
+
+def decoded(response: Response) -> str | None:
+    """The page of a response, or None.
+
+    It counts if its status is 200, its MIME type is HTML, and its bytes are text in the
+    charset that the header ends in.  A header without one, an unknown charset, or bytes
+    that don't fit it count as failures.
+    """
+    status, header, content = response
+    if status != 200 or "text/html" not in header.split(";")[0]:
+        return None
+    try:
+        return content.decode(header.split("charset=")[-1].strip())
+    except (LookupError, UnicodeDecodeError):
+        return None
+
+
+def http_get(timeout: float = 25.0, agent: str = "Mozilla/5.0", pause: tuple[float, float] = (0.3, 1.7)) -> Callable[[str], Response]:
+    """A client on the standard library that waits a random time in ``pause`` before each request."""
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    def get(url: str) -> Response:
+        time.sleep(random.uniform(*pause))
+        try:
+            with urlopen(Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
+                return r.status, r.headers.get("Content-Type") or "", r.read()
+        except HTTPError as e:
+            return e.code, "", b""
+
+    return get
+
+
+def page_of(url: str, get: Callable[[str], Response], snapshots: Callable[[str], Iterable[str]]) -> str | None:
+    """The page at ``url``, or else its first archived snapshot that answers; what raises is passed over."""
+
+    def tried(at: str) -> str | None:
+        try:
+            return decoded(get(at))
+        except Exception:
+            return None
+
+    html = tried(url)
+    if html is not None:
+        return html
+    try:
+        for at in snapshots(url):
+            html = tried(at)
+            if html is not None:
+                return html
+    except Exception:
+        pass
+    return None
+
+
+def scrape(urls: DataFrame, connect: Callable[[], tuple[Callable[[str], Response], Callable[[str], Iterable[str]]]]) -> DataFrame:
+    """id and the columns of ``SCRAPED`` for each row (id, media_name, publish_date, title, url).
+
+    ``connect`` gives, once a worker, the client and the lister of snapshots.  A page that
+    neither finds keeps its row, with ``FAILED`` as its error; so does a null url.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get, snapshots = connect()
+        for pdf in batches:
+            found = [article(page_of(u, get, snapshots) if u is not None else None) for u in pdf["url"]]
+            yield pdf.assign(body=[f[0] for f in found], keywords=[f[1] for f in found], error=[f[2] for f in found])
+
+    return urls.select("id", *(F.col(c).cast("string").alias(c) for c in ("media_name", "publish_date", "title", "url"))).mapInPandas(run, f"id long, {SCRAPED}")
+
+
+def pick_response(responses: DataFrame, key: str = "url") -> DataFrame:
+    """(key, attempt_no, html) from stored responses (key, attempt_no, status, content_type, content): the first
+    attempt that counts, live before archived; keys without one have nulls.  Only responses that pass the
+    header's tests reach the decoder.
+    """
+    kind = dict(responses.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            html = [decoded(r) for r in zip(pdf["status"], pdf["content_type"], pdf["content"])]
+            out = pd.DataFrame({key: pdf[key], "attempt_no": pdf["attempt_no"], "html": html})
+            yield out[out["html"].notna()]
+
+    good = responses.where((F.col("status") == 200) & F.contains(F.split("content_type", ";")[0], F.lit("text/html")))
+    pages = good.select(key, F.col("attempt_no").cast("long"), "status", "content_type", "content").mapInPandas(run, f"{key} {kind}, attempt_no long, html string")
+    best = pages.groupBy(key).agg(F.min_by(F.struct("attempt_no", "html"), "attempt_no").alias("_b"))
+    return responses.select(key).distinct().join(best, key, "left").select(key, F.col("_b.attempt_no").alias("attempt_no"), F.col("_b.html").alias("html"))
+
+
+def collapse_blank_lines(text):
+    """Pairs of line ends as one blank."""
+    return F.replace(text, F.lit("\n\n"), F.lit(" "))

@@ -36,7 +36,7 @@ def test_same_rows(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["tokenize_stem", "article_extract", "hdbscan_clusters", "betweenness", "communities", "pca", "lsa", "hyper_search"])
+@pytest.mark.parametrize("name", ["tokenize_stem", "article_extract", "hdbscan_clusters", "betweenness", "communities", "pca", "lsa"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0
 
