@@ -68,7 +68,8 @@ def clean_text(text: Column) -> Column:
 
 
 def fold_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Letters without their marks; plain texts, known by their length in bytes, skip the table."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.translate(text, ACCENTED, PLAIN))
 
 
 def tokenize(text: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
