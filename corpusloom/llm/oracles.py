@@ -55,4 +55,52 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-SQL = {"op1_exact_dedup": _EXACT, "op6_url_filter": _url_sql(), "op9_quality_rules": _QUALITY}
+_RESAMPLE = rf"""
+WITH tables AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+sides AS (SELECT true AS own, doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT false, NULL, coalesce(text, '') FROM benchmark),
+texts AS (SELECT own, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM sides),
+words AS (SELECT own, doc_id, unnest(words) AS w FROM texts),
+named AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM words)),
+hashed AS (
+  SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h), 2), lambda i: ('0x' || substr(h, i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS b FROM named, tables),
+counts AS (SELECT b, count(*) FILTER (own) AS s, count(*) FILTER (NOT own) AS t FROM words JOIN hashed USING (w) GROUP BY b),
+sums AS (SELECT coalesce(sum(s), 0)::DOUBLE AS s_all, coalesce(sum(t), 0)::DOUBLE AS t_all FROM counts),
+gains AS (SELECT b, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS g FROM counts, sums),
+weights AS (SELECT doc_id, sum(g)::BIGINT AS total, count(*) AS n FROM words JOIN hashed USING (w) JOIN gains USING (b) WHERE own GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS noise
+  FROM texts LEFT JOIN weights USING (doc_id) WHERE own),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS k, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN k <= 10 * n // 100 THEN k END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+_MIX = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORDS}'))::BIGINT AS size, md5('2024:' || doc_id) AS k FROM documents),
+sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+placed AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sizes),
+weighed AS (SELECT *, [5, 2, 1][place % 3 + 1] AS w, 3 * source_size AS most FROM placed),
+levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.0::DOUBLE - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+    / (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
+  FROM weighed WINDOW o AS (ORDER BY most::DOUBLE / w, place)),
+targets AS (SELECT source, source_size, place, least(most::DOUBLE, max(level) OVER () * w) AS target FROM levels),
+spread AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.place % 3 AS kind, round(t.target)::BIGINT AS demand,
+    coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+used AS (
+  SELECT *, least(greatest(demand - start, 0), size) + least(greatest(demand - source_size - start, 0), size) + least(greatest(demand - 2 * source_size - start, 0), size) AS taken,
+    start::DOUBLE / greatest(demand, 1) AS y FROM spread)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE kind
+  WHEN 0 THEN 2 * y / (1.5 + sqrt(2.25 - 2 * y))
+  WHEN 1 THEN y
+  ELSE CASE WHEN y >= 0.375 THEN 0.5 + 2 * (y - 0.375) / (1 + sqrt(1 + 2 * (y - 0.375))) WHEN y > 0 THEN 2 * y / (0.5 + sqrt(0.25 + 2 * y)) ELSE 0 END
+  END, 9) END AS position
+FROM used
+"""
+
+SQL = {"op1_exact_dedup": _EXACT, "op6_url_filter": _url_sql(), "op9_quality_rules": _QUALITY, "op12_importance_resampling": _RESAMPLE, "op13_source_mixing": _MIX}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, compaction, exact_dedup, jaccard_join, packing, quality, suffix_dedup, token_shards, toxicity, url_filter
+from . import byte_bpe, compaction, exact_dedup, jaccard_join, mixing, packing, quality, resampling, suffix_dedup, token_shards, toxicity, url_filter, whitening
 from .common import read_table, shared_dir
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -62,4 +62,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_shards, op3_compaction, op4_toxicity, op5_byte_bpe, op6_url_filter, op7_best_fit_packing, op8_jaccard_join, op9_quality_rules, op10_suffix_dedup)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), most=32)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), percent=10, least_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.by_first_position(mixing.mix_sources(read_table(spark, sf_dir, "documents")))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+
+
+_ALL = (
+    op1_exact_dedup, op2_token_shards, op3_compaction, op4_toxicity, op5_byte_bpe, op6_url_filter, op7_best_fit_packing, op8_jaccard_join, op9_quality_rules,
+    op10_suffix_dedup, op11_whitening, op12_importance_resampling, op13_source_mixing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
