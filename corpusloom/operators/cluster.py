@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import density
+from .tables import Shelf
 
 #: Rows of a group up to which the whole distance structure is built in one task.
 LARGEST_GROUP = 20_000
@@ -85,19 +87,35 @@ def similar_links(df: DataFrame, key: str, vector: str, above: float, block: int
     return links.select("a", "b")
 
 
-def single_linkage(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (distance, a, b), a < b, of the minimum spanning tree under cosine distance, by Prim's algorithm.
+def core_distances(x: np.ndarray, metric: str, samples: int) -> np.ndarray:
+    """Of each row, the distance to its ``samples``-th nearest other row (the farthest if there are fewer)."""
+    out = np.zeros(len(x))
+    for at in range(0, len(x), 512):
+        d = density.distances(x[at : at + 512], x, metric)
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = -1  # itself comes first
+        k = min(samples, len(x) - 1)
+        near = np.argpartition(d, k, axis=1)[:, : k + 1]
+        i = np.repeat(np.arange(len(d)), k + 1)
+        out[at : at + 512] = density.exact(x[i + at], x[near.ravel()], metric).reshape(-1, k + 1).max(axis=1)
+    return out
 
-    Distances count to 12 digits and equal ones by their ends, so there is one such tree.
+
+def single_linkage(x: np.ndarray, metric: str = "cosine", samples: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (distance, a, b), a < b, of the minimum spanning tree of mutual reachability, by Prim's algorithm.
+
+    Distances count to 12 digits and equal ones by their ends, so there is one such tree.  With one sample a
+    core distance is that to the nearest row, so reachability is the distance itself.
     """
-    unit = unit_rows(x)
+    unit = density.spread_out(x, metric)
+    core = core_distances(unit, metric, samples) if samples > 1 else np.zeros(len(x))
     n = len(x)
     places = np.arange(n)
     best, ends, inside = np.full(n, np.inf), np.full(n, n * n), np.zeros(n, bool)
     at, out = 0, []
     for _ in range(n - 1):
         inside[at] = True
-        d = np.round(1 - unit @ unit[at], 12) + 0.0
+        d = np.round(1 - unit @ unit[at] if metric == "cosine" else np.linalg.norm(unit - unit[at], axis=1), 12) + 0.0
+        d = np.maximum(np.maximum(d, core), core[at])
         own = np.minimum(places, at) * n + np.maximum(places, at)
         closer = ~inside & ((d < best) | ((d == best) & (own < ends)))
         best[closer], ends[closer] = d[closer], own[closer]
@@ -113,29 +131,11 @@ def _in_order(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return d[order], a[order], b[order]
 
 
-def spanning_forest(n: int, d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The edges that Kruskal's algorithm keeps, in order."""
-    d, a, b = _in_order(d, a, b)
-    top, kept = list(range(n)), []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        while top[x] != x:
-            top[x] = x = top[top[x]]
-        while top[y] != y:
-            top[y] = y = top[top[y]]
-        if x != y:
-            top[x] = y
-            kept.append(k)
-    return d[kept], a[kept], b[kept]
-
-
-def density_labels(x: np.ndarray, least: int) -> np.ndarray:
-    """Labels by excess of mass on the condensed single-linkage tree; -1 is noise.
-
-    With one sample per core the mutual reachability is the distance itself.
-    """
+def density_labels(x: np.ndarray, least: int, metric: str = "cosine", samples: int = 1) -> np.ndarray:
+    """Labels by excess of mass on the condensed single-linkage tree; -1 is noise."""
     if len(x) < max(2, least):
         return np.full(len(x), -1)
-    return tree_labels(len(x), *single_linkage(x), least)
+    return tree_labels(len(x), *single_linkage(x, metric, samples), least)
 
 
 def tree_labels(n: int, d_: np.ndarray, a_: np.ndarray, b_: np.ndarray, least: int) -> np.ndarray:
@@ -206,58 +206,34 @@ def tree_labels(n: int, d_: np.ndarray, a_: np.ndarray, b_: np.ndarray, least: i
     return labels
 
 
-def density_clusters(df: DataFrame, key: str, vector: str, group: Column, prefix: str, least: int) -> DataFrame:
+def density_clusters(df: DataFrame, key: str, vector: str, group: Column, prefix: str, least: int, metric: str = "cosine", samples: int = 1, probes: int = 8) -> DataFrame:
     """(key, group, cluster_id): clusters inside each group, named by their smallest key; null is noise.  Keys are unique.
 
-    Rows without a valid vector or group are noise.  A group above ``LARGEST_GROUP``
-    is cut into blocks.  The tree of each pair of blocks is built in its own task; the
-    tree of the group lies within these, and merging them drops the other edges.  Its
-    labels are then made in one task from as many edges as the group has rows.
+    Rows without a valid vector or group are noise.  A group of at most ``LARGEST_GROUP`` rows is clustered in a
+    task from all its distances, a larger one by ``density`` from its neighbour graph, which looks for a row in
+    ``probes`` cells: the more of them, the nearer its labels are to those of all distances.
     """
-    rows = df.select(key, group.cast("string").alias("_group"), F.col(vector).alias("_v"))
+    rows = df.select(key, group.cast("string").alias("_group"), V.doubles(F.col(vector)).alias("_v"))
     good = rows.where(V.valid_vector(F.col("_v")) & F.col("_group").isNotNull())
-    n = F.count(F.lit(1))
-    sizes = good.groupBy("_group").agg(F.when(n > LARGEST_GROUP, F.ceil(n / BLOCK)).otherwise(1).cast("int").alias("_blocks"))
-    most = sizes.agg(F.max("_blocks")).first()[0] or 1
-    dealt = good.join(sizes, "_group")
+    sizes = good.groupBy("_group").agg((F.count(F.lit(1)) > LARGEST_GROUP).alias("_large"))
     kind = dict(df.dtypes)[key]
     schema = f"{key} {kind}, group string, cluster_id string"
 
-    def named(keys: np.ndarray, where: str, labels: np.ndarray) -> pd.DataFrame:
-        names = pd.Series(keys).groupby(labels).min()
-        return pd.DataFrame({key: keys, "group": where, "cluster_id": [None if k < 0 else f"{prefix}_{where}__{names[k]}" for k in labels]})
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        return named(pdf[key].to_numpy(), pdf["_group"].iloc[0], density_labels(np.array(pdf["_v"].tolist(), float), least))
-
-    def edges(pdf: pd.DataFrame, keys: np.ndarray, d: np.ndarray, a: np.ndarray, b: np.ndarray, part: int) -> pd.DataFrame:
-        return pd.DataFrame({"_group": np.full(len(d), pdf["_group"].iloc[0]), "_part": np.full(len(d), part), "d": d, "a": keys[a], "b": keys[b]})
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        return edges(pdf, pdf[key].to_numpy(), *single_linkage(np.array(pdf["_v"].tolist(), float)), _part_of(pdf))
-
-    def joined(pdf: pd.DataFrame) -> tuple:
-        keys, at = np.unique(np.concatenate([pdf["a"], pdf["b"]]), return_inverse=True)
-        return keys, *spanning_forest(len(keys), pdf["d"].to_numpy(), at[: len(pdf)], at[len(pdf) :])
+        keys, where = pdf[key].to_numpy(), pdf["_group"].iloc[0]
+        labels = density_labels(np.array(pdf["_v"].tolist(), float), least, metric, samples)
+        names = pd.Series(keys).groupby(labels).min()
+        return pd.DataFrame({key: keys, "group": where, "cluster_id": [None if k < 0 else f"{prefix}_{where}__{names[k]}" for k in labels]})
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        return edges(pdf, *joined(pdf), pdf["_part"].iloc[0])
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, *tree = joined(pdf)
-        return named(keys, pdf["_group"].iloc[0], tree_labels(len(keys), *tree, least))
-
-    found = dealt.where("_blocks = 1").groupBy("_group").applyInPandas(run, schema)
-    if most > 1:
-        links = f"_group string, _part int, d double, a {kind}, b {kind}"
-        pairs = block_pairs(dealt.where("_blocks > 1"), key, F.col("_blocks")).where("_i < _j")  # these hold all pairs of rows
-        trees, parts = pairs.groupBy("_group", "_i", "_j").applyInPandas(pair, links), most * (most + 1) // 2
-        while parts > 4:
-            parts = -(-parts // 4)
-            trees = trees.withColumn("_part", F.col("_part") % parts).groupBy("_group", "_part").applyInPandas(merge, links)
-        found = found.unionByName(trees.groupBy("_group").applyInPandas(label, schema))
+    large = [r["_group"] for r in sizes.where("_large").select("_group").collect()]  # few: each has many rows
+    found = good.where(~F.col("_group").isin(large)).groupBy("_group").applyInPandas(run, schema)
+    if large:
+        shelf = Shelf(df.sparkSession, "density")
+        own = good.where(F.col("_group").isin(large)).select(F.col(key).alias("_key"), "_group", "_v")
+        tree, _ = density.density_tree(own, shelf, metric, samples, probes=probes)
+        labels = density.tree_labels(tree, shelf, least)
+        found = found.unionByName(labels.select(F.col("node").alias(key), F.col("_group").alias("group"), F.concat(F.lit(f"{prefix}_"), "_group", F.lit("__"), F.col("label").cast("string")).alias("cluster_id")))
     noise = rows.where(~F.coalesce(V.valid_vector(F.col("_v")) & F.col("_group").isNotNull(), F.lit(False))).select(key, F.col("_group").alias("group"), F.lit(None).cast("string").alias("cluster_id"))
     return found.unionByName(noise)
 
