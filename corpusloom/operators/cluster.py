@@ -133,13 +133,18 @@ def _in_order(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 def density_labels(x: np.ndarray, least: int, metric: str = "cosine", samples: int = 1) -> np.ndarray:
     """Labels by excess of mass on the condensed single-linkage tree; -1 is noise."""
+    return labels_and_levels(x, least, metric, samples)[0]
+
+
+def labels_and_levels(x: np.ndarray, least: int, metric: str = "cosine", samples: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The labels, and for each row the height at which its cluster splits from the others (NaN for noise)."""
     if len(x) < max(2, least):
-        return np.full(len(x), -1)
+        return np.full(len(x), -1), np.full(len(x), np.nan)
     return tree_labels(len(x), *single_linkage(x, metric, samples), least)
 
 
-def tree_labels(n: int, d_: np.ndarray, a_: np.ndarray, b_: np.ndarray, least: int) -> np.ndarray:
-    """``density_labels`` from the edges of the minimum spanning tree, in order."""
+def tree_labels(n: int, d_: np.ndarray, a_: np.ndarray, b_: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """``labels_and_levels`` from the edges of the minimum spanning tree, in order."""
     top = list(range(n))  # tree node of each set
     children, height, size = {}, {}, {i: 1 for i in range(n)}
 
@@ -196,35 +201,39 @@ def tree_labels(n: int, d_: np.ndarray, a_: np.ndarray, b_: np.ndarray, least: i
             chosen.add(k)
         else:
             worth[k] = parts
-    labels, todo = np.full(n, -1), [(root, None)]
+    labels, levels, todo = np.full(n, -1), np.full(n, np.nan), [(root, None)]
     while todo:
         k, label = todo.pop()
         label = k if label is None and k in chosen else label
         if label is not None:
             labels[clusters[k]["points"]] = label
+            levels[clusters[k]["points"]] = 1 / clusters[label]["birth"]
         todo += [(p, label) for p in clusters[k]["parts"]]
-    return labels
+    return labels, levels
 
 
-def density_clusters(df: DataFrame, key: str, vector: str, group: Column, prefix: str, least: int, metric: str = "cosine", samples: int = 1, probes: int = 8) -> DataFrame:
+def density_clusters(df: DataFrame, key: str, vector: str, group: Column, prefix: str, least: int, metric: str = "cosine", samples: int = 1, probes: int = 8, levels: bool = False) -> DataFrame:
     """(key, group, cluster_id): clusters inside each group, named by their smallest key; null is noise.  Keys are unique.
 
     Rows without a valid vector or group are noise.  A group of at most ``LARGEST_GROUP`` rows is clustered in a
     task from all its distances, a larger one by ``density`` from its neighbour graph, which looks for a row in
-    ``probes`` cells: the more of them, the nearer its labels are to those of all distances.
+    ``probes`` cells: the more of them, the nearer its labels are to those of all distances.  With ``levels``
+    there is also ``level``, the height at which a row's cluster splits from the others.
     """
     rows = df.select(key, group.cast("string").alias("_group"), V.doubles(F.col(vector)).alias("_v"))
     good = rows.where(V.valid_vector(F.col("_v")) & F.col("_group").isNotNull())
     sizes = good.groupBy("_group").agg((F.count(F.lit(1)) > LARGEST_GROUP).alias("_large"))
     kind = dict(df.dtypes)[key]
-    schema = f"{key} {kind}, group string, cluster_id string"
+    schema = f"{key} {kind}, group string, cluster_id string, level double"
+    columns = [key, "group", "cluster_id", *(["level"] if levels else [])]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         keys, where = pdf[key].to_numpy(), pdf["_group"].iloc[0]
-        labels = density_labels(np.array(pdf["_v"].tolist(), float), least, metric, samples)
+        labels, level = labels_and_levels(np.array(pdf["_v"].tolist(), float), least, metric, samples)
         names = pd.Series(keys).groupby(labels).min()
-        return pd.DataFrame({key: keys, "group": where, "cluster_id": [None if k < 0 else f"{prefix}_{where}__{names[k]}" for k in labels]})
+        named = [None if k < 0 else f"{prefix}_{where}__{names[k]}" for k in labels]
+        return pd.DataFrame({key: keys, "group": where, "cluster_id": named, "level": [None if k < 0 else d for k, d in zip(labels, level)]})
 
     large = [r["_group"] for r in sizes.where("_large").select("_group").collect()]  # few: each has many rows
     found = good.where(~F.col("_group").isin(large)).groupBy("_group").applyInPandas(run, schema)
@@ -233,9 +242,24 @@ def density_clusters(df: DataFrame, key: str, vector: str, group: Column, prefix
         own = good.where(F.col("_group").isin(large)).select(F.col(key).alias("_key"), "_group", "_v")
         tree, _ = density.density_tree(own, shelf, metric, samples, probes=probes)
         labels = density.tree_labels(tree, shelf, least)
-        found = found.unionByName(labels.select(F.col("node").alias(key), F.col("_group").alias("group"), F.concat(F.lit(f"{prefix}_"), "_group", F.lit("__"), F.col("label").cast("string")).alias("cluster_id")))
-    noise = rows.where(~F.coalesce(V.valid_vector(F.col("_v")) & F.col("_group").isNotNull(), F.lit(False))).select(key, F.col("_group").alias("group"), F.lit(None).cast("string").alias("cluster_id"))
-    return found.unionByName(noise)
+        found = found.unionByName(labels.select(F.col("node").alias(key), F.col("_group").alias("group"), F.concat(F.lit(f"{prefix}_"), "_group", F.lit("__"), F.col("label").cast("string")).alias("cluster_id"), "level"))
+    noise = rows.where(~F.coalesce(V.valid_vector(F.col("_v")) & F.col("_group").isNotNull(), F.lit(False))).select(key, F.col("_group").alias("group"), F.lit(None).cast("string").alias("cluster_id"), F.lit(None).cast("double").alias("level"))
+    return found.unionByName(noise).select(*columns)
+
+
+def assign_clusters(new: DataFrame, key: str, vector: str, fitted: DataFrame, fitted_key: str, fitted_vector: str, label: str, metric: str = "cosine", probes: int = 8) -> DataFrame:
+    """(key, label): the fitted tree's cluster that each new row would join, null if none.
+
+    ``fitted`` has the clustered rows with ``label`` and ``level``, as ``density_clusters`` gives them.  A new row
+    hangs on its nearest fitted row, at their distance; it is in that row's cluster if the cluster splits from
+    the others farther out, so rows between clusters and neighbours of noise stay outside.
+    """
+    own = lambda df, k, v: df.select(F.col(k).alias("_key"), F.lit("all").alias("_group"), V.doubles(F.col(v)).alias("_v")).where(V.valid_vector(F.col("_v")))
+    rows = own(fitted, fitted_key, fitted_vector)
+    near = density.neighbours(rows, {"all": rows.count()}, 1, metric, probes, asking=own(new, key, vector))
+    held = near.join(fitted.select(F.col(fitted_key).alias("n"), F.col(label).alias("_label"), "level"), "n")
+    joined = held.select(F.col("a").alias(key), F.when(F.col("d") < F.col("level"), F.col("_label")).alias(label))
+    return new.select(key).join(joined, key, "left")
 
 
 def cluster_stats(clusters: DataFrame) -> DataFrame:
@@ -296,16 +320,24 @@ def assign_topics(df: DataFrame, key: str, vector: str, topics: DataFrame, topic
     return best.select(key, (-F.col("b")["k"]).alias(topic), F.round(F.col("b")["s"], 6).alias("similarity"))
 
 
-def class_keywords(docs: DataFrame, topic: str, tokens: Column, n: int) -> DataFrame:
+def class_words(docs: DataFrame, topic: str, tokens: Column) -> DataFrame:
+    """(topic, word, tf): the table that all topics' weights and counts come from."""
+    return docs.select(topic, F.explode(tokens).alias("word")).groupBy(topic, "word").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def class_weights(words: DataFrame, topic: str) -> DataFrame:
     """Class-based TF-IDF: weight of a word in a topic is tf * ln(1 + average words of a topic / frequency)."""
-    words = docs.select(topic, F.explode(tokens).alias("word")).groupBy(topic, "word").agg(F.count(F.lit(1)).alias("tf"))
     whole = words.groupBy("word").agg(F.sum("tf").alias("f"))
     per_topic = words.groupBy(topic).agg(F.sum("tf").alias("total"))
     mean = F.broadcast(per_topic.agg(F.avg("total").alias("mean")))  # one row
-    weighted = words.join(whole, "word").join(per_topic, topic).join(mean).select(topic, "word", F.round(F.col("tf") / F.col("total") * F.log(1 + F.col("mean") / F.col("f")), 9).alias("weight"))
+    return words.join(whole, "word").join(per_topic, topic).join(mean).select(topic, "word", F.round(F.col("tf") / F.col("total") * F.log(1 + F.col("mean") / F.col("f")), 9).alias("weight"))
+
+
+def class_keywords(docs: DataFrame, topic: str, tokens: Column, n: int) -> DataFrame:
+    """The ``n`` words of the highest class-based weight in each topic."""
     from .stats import top_per_group
 
-    return top_per_group(weighted, topic, "weight", "word", n)
+    return top_per_group(class_weights(class_words(docs, topic, tokens), topic), topic, "weight", "word", n)
 
 
 def cosine_topk(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int | None = None) -> DataFrame:

@@ -82,12 +82,14 @@ def pivots_of(rows: DataFrame, sizes: dict[str, int], metric: str) -> dict[str,
     return {g: spread_out(np.array(v, float), metric) for g, v in by_group.items()}
 
 
-def neighbours(rows: DataFrame, sizes: dict[str, int], k: int, metric: str = "cosine", probes: int = 8) -> DataFrame:
-    """(_group, a, n, d): about the ``k`` nearest rows n of each row a in its group.
+def neighbours(rows: DataFrame, sizes: dict[str, int], k: int, metric: str = "cosine", probes: int = 8, asking: DataFrame | None = None) -> DataFrame:
+    """(_group, a, n, d): about the ``k`` nearest rows n of each row a in its group, a itself left out; or of
+    each row a of another table ``asking``.
 
-    ``rows`` has _key, _group, _v.  A row is looked for in the cells of the ``probes`` pivots nearest to
+    The tables have _key, _group, _v.  A row is looked for in the cells of the ``probes`` pivots nearest to
     the asking row; a cell is dealt into blocks, so its size doesn't matter.
     """
+    alone = asking is None
     spark, kind = rows.sparkSession, dict(rows.dtypes)["_key"]
     pivots = spark.sparkContext.broadcast(pivots_of(rows, sizes, metric))
 
@@ -107,9 +109,10 @@ def neighbours(rows: DataFrame, sizes: dict[str, int], k: int, metric: str = "co
                         out[i] = c
             yield pdf.assign(_cells=out)
 
-    dealt = rows.mapInPandas(cells, f"_key {kind}, _group string, _v array<double>, _cells array<int>")
-    home = dealt.select("_key", "_group", "_v", F.get("_cells", F.lit(0)).alias("_cell"))
-    asking = dealt.select("_key", "_group", "_v", F.explode("_cells").alias("_cell"))
+    celled = lambda df: df.select("_key", "_group", "_v").mapInPandas(cells, f"_key {dict(df.dtypes)['_key']}, _group string, _v array<double>, _cells array<int>")
+    home = celled(rows).select("_key", "_group", "_v", F.get("_cells", F.lit(0)).alias("_cell"))
+    asked_kind = kind if alone else dict(asking.dtypes)["_key"]
+    asking = celled(rows if alone else asking).select("_key", "_group", "_v", F.explode("_cells").alias("_cell"))
     held = home.groupBy("_group", "_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_held"))
     asked = asking.groupBy("_group", "_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_asked"))
     blocks = held.join(asked, ["_group", "_cell"])
@@ -126,7 +129,8 @@ def neighbours(rows: DataFrame, sizes: dict[str, int], k: int, metric: str = "co
         out = []
         for at in range(0, len(x), 256):
             d = distances(x[at : at + 256], y, metric)
-            d[asker[at : at + 256, None] == keys[None, :]] = np.inf
+            if alone:
+                d[asker[at : at + 256, None] == keys[None, :]] = np.inf
             take = min(k, d.shape[1])
             best = np.argpartition(d, take - 1, axis=1)[:, :take]
             i, j = np.repeat(np.arange(len(best)), take), best.ravel()
@@ -135,7 +139,7 @@ def neighbours(rows: DataFrame, sizes: dict[str, int], k: int, metric: str = "co
             out.append(pd.DataFrame({"a": asker[i], "n": keys[j], "d": exact(x[i], y[j], metric)}))
         return pd.concat(out).assign(_group=a["_group"].iloc[0])[["_group", "a", "n", "d"]]
 
-    found = left.groupBy("_group", "_cell", "_i", "_j").cogroup(_anew(right).groupBy("_group", "_cell", "_i", "_j")).applyInPandas(nearest, f"_group string, a {kind}, n {kind}, d double")
+    found = left.groupBy("_group", "_cell", "_i", "_j").cogroup(_anew(right).groupBy("_group", "_cell", "_i", "_j")).applyInPandas(nearest, f"_group string, a {asked_kind}, n {kind}, d double")
     ranked = found.withColumn("_rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "n")))
     return ranked.where(F.col("_rank") <= k).drop("_rank")
 
@@ -438,7 +442,8 @@ def _bands(tree: DataFrame, shelf: Shelf, width: int) -> tuple[DataFrame, int]:
 
 
 def tree_labels(tree: DataFrame, shelf: Shelf, least: int, width: int | None = None) -> DataFrame:
-    """(_group, node, label): for every end of the tree's edges the cluster of excess of mass, by its smallest row, or null."""
+    """(_group, node, label, level): for every end of the tree's edges the cluster of excess of mass, by its smallest
+    row, and the height at which it splits from the others; both null for noise."""
     if least < 2:
         raise ValueError("a cluster has two rows at least")
     kind = dict(tree.dtypes)["a"]
@@ -449,7 +454,8 @@ def tree_labels(tree: DataFrame, shelf: Shelf, least: int, width: int | None = N
     state = f"_group string, node {kind}, size long, rate double, mass double, parts double"
     spark = tree.sparkSession
     state_schema = spark.createDataFrame([], state).schema
-    label_schema = spark.createDataFrame([], f"_group string, node {kind}, label {kind}").schema
+    labels = f"_group string, node {kind}, label {kind}, level double"
+    label_schema = spark.createDataFrame([], labels).schema
 
     def built(e: pd.DataFrame, s: pd.DataFrame) -> Merges:
         return Merges(e, {r[0]: tuple(r[1:]) for r in s[["node", "size", "rate", "mass", "parts"]].itertuples(index=False, name=None)}, least)
@@ -461,16 +467,18 @@ def tree_labels(tree: DataFrame, shelf: Shelf, least: int, width: int | None = N
 
     def down(e: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if not len(e):
-            return _none("_group", "node", "label")
-        given = dict(zip(s["node"], s["label"].astype(object).where(s["label"].notna(), None)))
+            return _none("_group", "node", "label", "level")
+        known = s[s["label"].notna()]
+        given = dict(zip(known["node"], zip(known["label"], known["level"])))
         m = built(e, s[s["size"].notna()])
-        label: list = [None] * len(m.name)
+        label: list = [(None, None)] * len(m.name)
         for k in m.tops:
-            label[k] = given.get(m.name[k])
+            label[k] = given.get(m.name[k], (None, None))
         for k in range(len(m.name) - 1, len(m.nodes) - 1, -1):  # a merge comes after its children
             for c in m.children[k]:
-                label[c] = label[k] if label[k] is not None or not m.chosen.get(c) else m.name[c]
-        return pd.DataFrame({"_group": e["_group"].iloc[0], "node": m.nodes, "label": pd.Series(label[: len(m.nodes)], dtype=object)})
+                label[c] = label[k] if label[k][0] is not None or not m.chosen.get(c) else (m.name[c], 1 / m.state[k][1])
+        names, levels = zip(*label[: len(m.nodes)])
+        return pd.DataFrame({"_group": e["_group"].iloc[0], "node": m.nodes, "label": pd.Series(names, dtype=object), "level": pd.Series(levels, dtype=object)})
 
     for band in range(count):
         own = edges.where(F.col("band") == band)
@@ -482,6 +490,6 @@ def tree_labels(tree: DataFrame, shelf: Shelf, least: int, width: int | None = N
         states = shelf.part("states", "next", band, state_schema)
         given = shelf.part("labels", "prev", band, label_schema)
         both = states.join(given, ["_group", "node"], "full")
-        out = own.groupBy("_group").cogroup(both.groupBy("_group")).applyInPandas(down, f"_group string, node {kind}, label {kind}")
+        out = own.groupBy("_group").cogroup(both.groupBy("_group")).applyInPandas(down, labels)
         shelf.add(out.join(touched.where(F.col("band") == band).select("_group", "node", "prev"), ["_group", "node"]), "labels", "prev")
     return shelf.part("labels", "prev", -1, label_schema)

@@ -113,6 +113,25 @@ def fit_topics(spark, d):
     return topics.fit_topics(docs, "id", cluster.hashing_embedder(docs, "id", "body"))
 
 
+_INTO = "CASE WHEN topic_id < 10 THEN topic_id % 2 ELSE topic_id END"
+
+
+@query(
+    f"WITH {O._TOK}, w AS (SELECT source AS topic_id, word, count(*) AS tf FROM (SELECT substr(source, 4)::INT AS source, unnest(tokens) AS word FROM tok) GROUP BY 1, 2), "
+    f"g AS (SELECT {_INTO} AS topic_id, word, sum(tf) AS tf FROM w GROUP BY 1, 2), f AS (SELECT word, sum(tf) AS f FROM g GROUP BY 1), t AS (SELECT topic_id, sum(tf) AS total FROM g GROUP BY 1), m AS (SELECT avg(total) AS mean FROM t), "
+    "x AS (SELECT g.topic_id, g.word, g.tf, round(g.tf / t.total * ln(1 + m.mean / f.f), 9) AS weight FROM g JOIN f ON f.word = g.word JOIN t ON t.topic_id = g.topic_id, m) "
+    "SELECT topic_id, word, tf::BIGINT AS tf, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY weight DESC, word) AS rank FROM x) WHERE rank <= 10"
+)
+def merged_topic_words(spark, d):
+    """Counts and keywords of merged topics (sources, some of which are put together), from their parts' word table."""
+    docs = _docs(spark, d).withColumn("topic_id", F.substring("source", 4, 9).cast("int"))
+    words = cluster.class_words(docs, "topic_id", _words())
+    into = words.select("topic_id").distinct().withColumn("into", F.expr(_INTO))
+    merged = topics.merged_words(words, into, "topic_id")
+    best = stats.top_per_group(cluster.class_weights(merged, "topic_id"), "topic_id", "weight", "word", 10)
+    return best.join(merged, ["topic_id", "word"]).select("topic_id", "word", "tf", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {O._TOK} SELECT 1 AS least, count(DISTINCT word) AS vocabulary FROM words")
 def hyper_search(spark, d):
     best, size = models.search_word_vectors(_tokens(spark, d), "tokens")
