@@ -7,7 +7,9 @@ and renamed to the next version, which fails if another writer was first, so a
 reader sees the old or the new version and never a part of one.
 
 A merge reads whole files and packs them into tasks of the target size: rows are
-not shuffled, and no task holds more than one target file.
+not shuffled, and no task holds more than one target file.  Who loses the race for
+a version tries the next one with the shards it has written, or removes them if it
+gives up.  Old versions stay readable until ``vacuum``, which keeps the newest.
 
 Defined cases: nulls, empty and long texts, ties, repeated rows and any other
 columns are stored as they come; appending an empty table commits a version
@@ -19,17 +21,27 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import col, fresh
+
 TARGET_BYTES, FANOUT, LEAST_BYTES = 128 << 20, 4, 1 << 20
+#: Times that a lost race is run again; versions that ``vacuum`` leaves to readers.
+TRIES, KEPT = 20, 3
 
 
 class CommitConflict(RuntimeError):
     """Another writer committed this version first."""
 
 
+def _file_name(part: int) -> Column:
+    """A part of the path of the file that a row was read from; unlike the metadata column no column's name can hide it."""
+    return F.element_at(F.split(F.input_file_name(), "/"), part)
+
+
 class ShardStore:
     """A table of immutable shards at ``root``, on any file system Spark can write."""
 
@@ -82,10 +94,10 @@ class ShardStore:
 
     # -- shards --
 
-    def _write(self, df: DataFrame) -> list[dict]:
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(folder)
-        rows = {r["file"].rsplit("/", 1)[-1]: r["n"] for r in self.spark.read.schema(df.schema).parquet(folder).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    def _shards(self, folder: str, df: DataFrame) -> list[dict]:
+        """The files of a written folder with their sizes and rows."""
+        spark = df.sparkSession
+        rows = {r["file"]: r["n"] for r in spark.read.schema(df.schema).parquet(folder).groupBy(_file_name(-1).alias("file")).agg(F.count(F.lit(1)).alias("n")).collect()}
         out = []
         for s in self._fs.listStatus(self._path(folder)):
             name = s.getPath().getName()
@@ -93,52 +105,85 @@ class ShardStore:
                 out.append({"file": f"{folder}/{name}", "bytes": s.getLen(), "rows": rows[name]})
         return out
 
+    def _write(self, df: DataFrame) -> list[dict]:
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(folder)
+        return self._shards(folder, df)
+
+    def _remove(self, shards: list[dict]) -> None:
+        for s in shards:
+            self._fs.delete(self._path(s["file"]), False)
+
+    def _add(self, shards: list[dict], schema: str) -> dict:
+        for _ in range(TRIES):
+            base = self.manifest()
+            try:
+                return self.commit(base, base["shards"] + shards, schema)
+            except CommitConflict:  # another writer's version came first; the shards fit onto it as well
+                continue
+        self._remove(shards)
+        raise CommitConflict(f"lost {TRIES} races")
+
     def append(self, df: DataFrame) -> dict:
         """Add ``df`` as small shards, in one version."""
-        shards = self._write(df)
-        base = self.manifest()
-        return self.commit(base, base["shards"] + shards, df.schema.json())
+        return self._add(self._write(df), df.schema.json())
+
+    def append_waves(self, df: DataFrame, wave: Column, waves: int) -> Iterator[dict]:
+        """Add the rows of each wave as an arrival of its own, in one version each; ``df`` is read once."""
+        folder, name = f"{self.root}/data/{uuid.uuid4().hex}", fresh("_wave", df.columns)
+        df.withColumn(name, wave).write.option("compression", "zstd").partitionBy(name).parquet(folder)
+        for k in range(waves):
+            own = f"{folder}/{name}={k}"
+            yield self._add(self._shards(own, df) if self._fs.exists(self._path(own)) else [], df.schema.json())
 
     def tier(self, shard: dict) -> int:
         return max(0, int(math.log(max(shard["bytes"], 1) / self.least, self.fanout))) if shard["bytes"] > self.least else 0
 
-    def due(self, manifest: dict) -> list[dict]:
+    def due(self, manifest: dict, but: frozenset[int] = frozenset()) -> list[dict]:
         """The shards of the lowest tier that holds ``fanout`` or more below the target."""
         tiers: dict[int, list[dict]] = {}
         for s in manifest["shards"]:
             if s["bytes"] < self.target // 2:
                 tiers.setdefault(self.tier(s), []).append(s)
-        full = [t for t, own in tiers.items() if len(own) >= self.fanout]
+        full = [t for t, own in tiers.items() if len(own) >= self.fanout and t not in but]
         return tiers[min(full)] if full else []
 
     def compact(self) -> dict:
-        """Merge tiers until none is due; each merge is one version."""
-        base = self.manifest()
-        while own := self.due(base):
+        """Merge tiers until none is due; each merge is one version.  A tier that doesn't get fewer files is left alone."""
+        base, but, lost = self.manifest(), frozenset(), 0
+        while own := self.due(base, but):
             merged = self._write_packed(own, base["schema"])
-            if len(merged) >= len(own):
-                break
             gone = {s["file"] for s in own}
-            base = self.commit(base, [s for s in base["shards"] if s["file"] not in gone] + merged, None)
+            if len(merged) >= len(own):
+                self._remove(merged)
+                but |= {self.tier(own[0])}
+                continue
+            while True:
+                try:
+                    base = self.commit(base, [s for s in base["shards"] if s["file"] not in gone] + merged, None)
+                    break
+                except CommitConflict:
+                    base, lost = self.manifest(), lost + 1
+                    if not gone <= {s["file"] for s in base["shards"]} or lost >= TRIES:  # another merge took them
+                        self._remove(merged)
+                        if lost >= TRIES:
+                            raise
+                        break
         return base
 
     def _write_packed(self, shards: list[dict], schema: str) -> list[dict]:
-        """Read ``shards`` packed into tasks of the target size, and write a file from each."""
-        conf = self.spark.conf
-        wanted = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": str(max(1, sum(s["bytes"] for s in shards) // self.target))}
-        before = {k: conf.get(k, None) for k in wanted}
-        try:
-            for k, v in wanted.items():
-                conf.set(k, v)
-            return self._write(self._files(shards, schema))
-        finally:
-            for k, v in before.items():
-                conf.unset(k) if v is None else conf.set(k, v)
-
-    def _files(self, shards: list[dict], schema: str) -> DataFrame:
+        """Read ``shards`` packed into tasks of the target size, and write a file from each; in a session of its own,
+        so the caller's settings stay."""
+        own = self.spark.newSession()
+        settings = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": str(max(1, sum(s["bytes"] for s in shards) // self.target))}
+        for k, v in settings.items():
+            own.conf.set(k, v)
+        return self._write(self._files(shards, schema, own))
+
+    def _files(self, shards: list[dict], schema: str, session: SparkSession | None = None) -> DataFrame:
         from pyspark.sql.types import StructType
 
-        return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*(s["file"] for s in shards))
+        return (session or self.spark).read.schema(StructType.fromJson(json.loads(schema))).parquet(*(s["file"] for s in shards))
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
@@ -148,7 +193,7 @@ class ShardStore:
             return self.spark.createDataFrame([], StructType.fromJson(json.loads(m["schema"])) if m["schema"] else StructType())
         return self._files(m["shards"], m["schema"])
 
-    def vacuum(self, keep: int = 1) -> int:
+    def vacuum(self, keep: int = KEPT) -> int:
         """Delete files that none of the last ``keep`` versions names; returns how many."""
         known = self.versions()
         live = {s["file"] for v in known[-keep:] for s in self.manifest(v)["shards"]}
@@ -165,21 +210,20 @@ class ShardStore:
 def shard_documents(docs: DataFrame, root: str, waves: int = 4, id_col: str = "doc_id", **sizes: int) -> ShardStore:
     """Append ``docs`` in ``waves`` arrivals dealt by identifier, compacting after each."""
     store = ShardStore(docs.sparkSession, root, **sizes)
-    wave = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(waves)), F.lit(0))
-    for k in range(waves):
-        store.append(docs.where(wave == k))
+    wave = F.coalesce(F.pmod(F.crc32(col(docs, id_col).cast("string").cast("binary")), F.lit(waves)), F.lit(0))
+    for _ in store.append_waves(docs, wave, waves):
         store.compact()
-        store.vacuum()
+    store.vacuum()
     return store
 
 
 def shard_contents(store: ShardStore, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each stored row: id, shard (its place in the manifest), shard_rows, text_sha256."""
     spark, m = store.spark, store.manifest()
-    files = [(s["file"].rsplit("/", 1)[-1], s["file"].rsplit("/", 2)[-2], i, s["rows"]) for i, s in enumerate(m["shards"])]
+    files = [(s["file"].rsplit("/", 1)[-1], "/".join(s["file"].split("/")[-3:-1]), i, s["rows"]) for i, s in enumerate(m["shards"])]
     if not files:
         return spark.createDataFrame([], f"{id_col} long, shard int, shard_rows long, text_sha256 string")
-    names = F.broadcast(spark.createDataFrame(files, "file string, folder string, shard int, shard_rows long"))  # a row for each shard
-    path = F.col("_metadata.file_path")
-    rows = store.read().select(F.col(id_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_sha256"), F.element_at(F.split(path, "/"), -1).alias("file"), F.element_at(F.split(path, "/"), -2).alias("folder"))
+    names = spark.createDataFrame(files, "file string, folder string, shard int, shard_rows long")  # Spark checks its size before it broadcasts
+    held = store.read()
+    rows = held.select(col(held, id_col).alias(id_col), F.sha2(F.coalesce(col(held, text_col), F.lit("")).cast("binary"), 256).alias("text_sha256"), _file_name(-1).alias("file"), F.concat_ws("/", _file_name(-3), _file_name(-2)).alias("folder"))
     return rows.join(names, ["file", "folder"]).select(id_col, "shard", "shard_rows", "text_sha256")

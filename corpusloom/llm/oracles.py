@@ -51,7 +51,7 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 40 * n_lines
        OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))
-       OR (n_letters > 0 AND 100 * n_upper > 60 * n_letters) OR 10 * n_marks > 3 * n_words) AS kept
+       OR (n_letters > 0 AND 100 * n_upper > 60 * n_letters) OR 10 * n_marks > 3 * n_words) AS kept, 'clean-1' AS policy, 1 AS rules_version
 FROM b
 """
 

@@ -36,11 +36,11 @@ from pyspark.sql.window import Window
 from .common import col, materialise, tune
 from .encode import encoder
 
-#: How much of a length's demand a round may cover, how fast prices fall with coverage, how near to the
-#: highest price a configuration must be.
-STEP, RATE, NEAR = 1.0, 2.0, 0.1
+#: How much of a length's demand a round may cover at least and at most (in proportion to the number of lengths,
+#: up to ``MANY``), how fast prices fall with coverage, how near to the highest price a configuration must be.
+STEP, MANY, RATE, NEAR = (0.25, 1.0), 4_000, 4.0, 0.03
 #: Shares of the solution that roundings take.
-SHARES = (1.0, 0.8, 0.5, 0.2)
+SHARES = (1.0, 0.9, 0.8, 0.5, 0.2)
 #: Configurations without a step after which a round ends.
 IDLE = 150
 
@@ -97,7 +97,7 @@ class Knapsack:
         return out
 
 
-def solve(histogram: dict[int, int], limit: int, step: float = STEP) -> list[tuple[dict[int, int], float]]:
+def solve(histogram: dict[int, int], limit: int) -> list[tuple[dict[int, int], float]]:
     """A fractional solution of the configuration program, by multiplicative weights: it covers every
     length's demand."""
     order = sorted(n for n in histogram if n < limit)
@@ -107,6 +107,7 @@ def solve(histogram: dict[int, int], limit: int, step: float = STEP) -> list[tup
     demand = np.array([histogram[n] for n in order], float)
     place = {n: i for i, n in enumerate(order)}
     covered = np.zeros(len(lengths))
+    step = min(max(STEP[0], len(lengths) / MANY), STEP[1])
     mass: dict[tuple, float] = {}
     for _ in range(1000 + 4 * len(lengths)):  # some rounds a length at most; what they leave open is filled best-fit
         if (low := covered.min()) >= 1:
@@ -169,11 +170,26 @@ def rounded(histogram: dict[int, int], limit: int, solution: list[tuple[dict[int
     return out
 
 
+def least_sequences(histogram: dict[int, int], limit: int) -> int:
+    """A bound from below: the volume, and for each size the pieces over limit - size, which meet no piece of that size
+    or more, with the volume of those between."""
+    volume = -(-sum(n * c for n, c in histogram.items()) // limit)
+    best, large = volume, 0
+    order = sorted(n for n in histogram if histogram[n])
+    for small in (n for n in order if 2 * n <= limit):
+        large = sum(histogram[n] for n in order if n > limit - small)
+        middle = sum(histogram[n] for n in order if limit < 2 * n and n <= limit - small)
+        rest = sum(n * histogram[n] for n in order if small <= n and 2 * n <= limit)
+        room = middle * limit - sum(n * histogram[n] for n in order if limit < 2 * n and n <= limit - small)
+        best = max(best, large + middle + max(0, -(-(rest - room) // limit)))
+    return max(best, sum(c for n, c in histogram.items() if 2 * n > limit))
+
+
 def plan(histogram: dict[int, int], limit: int) -> list[tuple[list[int], int]]:
     """Whole configurations (their lengths in order) and how often each is used; covers all.  Of several
-    roundings of the program's solution, that of the fewest sequences."""
+    roundings of the program's solution, and best-fit without it, that of the fewest sequences."""
     solution = sorted(solve(histogram, limit), key=lambda c: (-c[1], sorted(c[0].items())))
-    plans = [rounded(histogram, limit, solution, share) for share in SHARES]
+    plans = [*(rounded(histogram, limit, solution, share) for share in SHARES), rounded(histogram, limit, [], 0.0)]
     return min(plans, key=lambda p: sum(times for _, times in p))
 
 

@@ -1,9 +1,10 @@
 """Quality rules kept as a bitmask ledger.
 
 Each text is measured once.  Every rule is evaluated once on the measurements and
-sets one bit of ``failed``.  A policy is a versioned set of rules, so applying or
-changing one is a bitwise test on the ledger; ablations aggregate the ledger's
-masks, of which there are few, and never read a text again.
+sets one bit of ``failed``; the ledger is written with the version of its rules.  A
+policy is a versioned set of rules, so applying or changing one is a bitwise test on
+the written ledger; ablations aggregate its masks, of which there are few, and never
+read a text again.  A policy whose rules are newer than the ledger's is refused.
 
 Defined cases: a null text has no words and fails ``few_words``; ratios over zero
 words or lines don't fail; repeated rows are measured alike; an empty table gives
@@ -17,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import materialise, tune
 
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _PLAIN = _UPPER + _UPPER.lower()
@@ -41,7 +42,9 @@ class QualityRule:
     fails: str
 
 
-#: A bit is never given to another rule, so old ledgers stay readable.
+#: The version of the rules below, kept with each row of a ledger; a bit is never given to another rule, so old
+#: ledgers stay readable.
+RULES_VERSION = 1
 RULES = (
     QualityRule(0, "few_words", "n_words < 50"),
     QualityRule(1, "repeated_words", "100 * n_repeat_words > 50 * n_words"),
@@ -129,7 +132,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ledger(docs: DataFrame, rules: tuple[QualityRule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: id, the measurements, and ``failed`` with a bit for each failed rule."""
+    """For each row: id, the measurements, ``failed`` with a bit for each failed rule, and ``rules_version``.
+
+    Lazy: ``write_ledger`` keeps it, so that policies and ablations read it instead of the texts.
+    """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("_text"))
     out = rows.mapInArrow(_measure, ", ".join([f"{id_col} long", *(f"{m} long" for m in MEASURES)]))
@@ -137,7 +143,24 @@ def ledger(docs: DataFrame, rules: tuple[QualityRule, ...] = RULES, id_col: str
     failed = bits[0]
     for b in bits[1:]:
         failed = failed.bitwiseOR(b)
-    return out.withColumn("failed", failed)
+    return out.withColumn("failed", failed).withColumn("rules_version", F.lit(RULES_VERSION))
+
+
+def write_ledger(docs: DataFrame, path: str | None = None, rules: tuple[QualityRule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger of ``docs``, written to ``path`` (or for this run to the shared folder) and read back."""
+    book = ledger(docs, rules, id_col, text_col)
+    if path is None:
+        return materialise(book, "ledger")
+    book.write.mode("overwrite").parquet(path)
+    return read_ledger(docs.sparkSession, path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """A written ledger; refused if its rules are newer than this code knows."""
+    book = spark.read.parquet(path)
+    if (book.agg(F.max("rules_version")).first()[0] or 0) > RULES_VERSION:
+        raise ValueError("the ledger was written by newer rules")
+    return book
 
 
 def apply_policy(book: DataFrame, names: tuple[str, ...], rules: tuple[QualityRule, ...] = RULES, column: str = "kept") -> DataFrame:

@@ -51,10 +51,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.ledger(read_table(spark, sf_dir, "documents"))
-    book = quality.apply_policy(book, quality.BASE, column="base_passed")
+    book = quality.write_ledger(read_table(spark, sf_dir, "documents"))
+    book = quality.apply_policy(book, quality.POLICIES["base-1"], column="base_passed")
     book = quality.apply_policy(book, quality.POLICIES["clean-1"])
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~F.col("base_passed")).alias("base_failed"), "kept")
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return book.select("doc_id", *measures, (~F.col("base_passed")).alias("base_failed"), "kept", F.lit("clean-1").alias("policy"), "rules_version")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
