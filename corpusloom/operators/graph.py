@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Vertices up to which whole-graph algorithms may run in one task.
-SMALL_GRAPH = 20_000
+from .align import numbered
+from .tables import Shelf
+
+#: Edges up to which a graph is broadcast, or its communities are found in one task.
+SMALL_EDGES = 200_000
 
 
 def cooccurrence(rows: DataFrame, basket: list[str], node: str, least: int) -> DataFrame:
@@ -71,11 +73,17 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 
 
 def clustering_coefficient(edges: DataFrame) -> DataFrame:
-    """Average over nodes of triangles / possible triangles; 0 for fewer than two neighbours."""
-    e = edges.select("a", "b")
-    wedge = e.alias("x").join(e.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("x.b").alias("m"), F.col("y.b").alias("b"))
-    corners = wedge.join(e, ["a", "b"]).select(F.explode(F.array("a", "b", "m")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("t"))
+    """Average over nodes of triangles / possible triangles; 0 for fewer than two neighbours.
+
+    Edges point to the end of more neighbours, so a hub, to which they point, makes few of the wedges.
+    """
     degree = both_ways(edges).groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("k"))
+    ends = edges.select("a", "b").join(degree.select(F.col("node").alias("a"), F.col("k").alias("_a")), "a").join(degree.select(F.col("node").alias("b"), F.col("k").alias("_b")), "b")
+    up = F.struct("_a", "a") < F.struct(F.col("_b").alias("_a"), F.col("b").alias("a"))
+    out = ends.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("low"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("high"))
+    one, two = out.select("low", F.col("high").alias("x")), out.select("low", F.col("high").alias("y"))
+    wedge = one.join(two, "low").where("x < y")
+    corners = wedge.join(edges.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"]).select(F.explode(F.array("low", "x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("t"))
     local = degree.join(corners, "node", "left").select(F.when(F.col("k") < 2, F.lit(0.0)).otherwise(2.0 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).alias("c"))
     return local.agg(F.round(F.avg("c"), 6).alias("average_clustering"))
 
@@ -160,13 +168,6 @@ def eigenvector_centrality(edges: DataFrame, rounds: int = 1000) -> DataFrame:
     raise RuntimeError("centrality did not settle")
 
 
-def _whole(edges: DataFrame, run, schema: str) -> DataFrame:
-    """A small graph in one task; larger ones are refused."""
-    if edges.limit(SMALL_GRAPH * 10).count() >= SMALL_GRAPH * 10:
-        raise ValueError("the graph is too large for a whole-graph algorithm")
-    return edges.select("a", "b").coalesce(1).mapInPandas(run, schema)
-
-
 def _adjacency(batches: Iterator[pd.DataFrame]) -> dict:
     near: dict = {}
     for rows in batches:
@@ -176,40 +177,92 @@ def _adjacency(batches: Iterator[pd.DataFrame]) -> dict:
     return near
 
 
-def betweenness(edges: DataFrame, kind: str = "string") -> DataFrame:
-    """Brandes' algorithm, normalised for undirected graphs."""
+def betweenness(edges: DataFrame, kind: str = "string", block_rows: int = 50_000_000) -> DataFrame:
+    """Brandes' algorithm, normalised for undirected graphs.
+
+    A graph of at most ``SMALL_EDGES`` edges is broadcast and its sources are dealt over the tasks.  In a larger
+    one sources go in blocks of about ``block_rows`` / nodes: their paths are counted level by level by joins of
+    the frontier with the edges, then what nodes owe is summed back level by level.
+    """
+    e = edges.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    small = e.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES
+    owed = _owed_by_sources(e, kind) if small else _owed_by_levels(e, block_rows)
+    n = nodes_of(e).agg(F.count(F.lit(1)).cast("double").alias("n"))  # one row
+    scale = F.when(F.col("n") > 2, 1 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(1.0)
+    return owed.groupBy("node").agg(F.sum("owed").alias("_owed")).join(F.broadcast(n)).select("node", F.round(F.col("_owed") * scale, 6).alias("betweenness"))
+
+
+def _owed_by_sources(edges: DataFrame, kind: str) -> DataFrame:
+    """(node, owed): each task's sums over its sources, with the whole graph, of checked size, at hand."""
+    near: dict = {}
+    for r in edges.collect():
+        near.setdefault(r["a"], []).append(r["b"])
+        near.setdefault(r["b"], []).append(r["a"])
+    graph = edges.sparkSession.sparkContext.broadcast(near)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = _adjacency(batches)
+        near = graph.value
         score = dict.fromkeys(near, 0.0)
-        for s in near:
-            order, parents, paths, dist = [], {v: [] for v in near}, dict.fromkeys(near, 0), {s: 0}
-            paths[s], queue = 1, deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
+        for s in (s for rows in batches for s in rows["node"]):
+            order, parents, paths, dist = [s], {s: []}, {s: 1.0}, {s: 0}
+            for v in order:
                 for w in near[v]:
                     if w not in dist:
-                        dist[w] = dist[v] + 1
-                        queue.append(w)
+                        dist[w], paths[w], parents[w] = dist[v] + 1, 0.0, []
+                        order.append(w)
                     if dist[w] == dist[v] + 1:
                         paths[w] += paths[v]
                         parents[w].append(v)
-            owed = dict.fromkeys(near, 0.0)
-            for w in reversed(order):
+            owed = dict.fromkeys(order, 0.0)
+            for w in reversed(order[1:]):
                 for v in parents[w]:
                     owed[v] += paths[v] / paths[w] * (1 + owed[w])
-                if w != s:
-                    score[w] += owed[w]
-        n = len(near)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        yield pd.DataFrame([(v, round(x * scale, 6)) for v, x in score.items()], columns=["node", "betweenness"])
-
-    return _whole(edges, run, f"node {kind}, betweenness double")
+                score[w] += owed[w]
+        yield pd.DataFrame(list(score.items()), columns=["node", "owed"])
+
+    parts = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return nodes_of(edges).repartition(parts, "node").mapInPandas(run, f"node {kind}, owed double")
+
+
+def _owed_by_levels(edges: DataFrame, block_rows: int) -> DataFrame:
+    shelf = Shelf(edges.sparkSession, "paths")
+    around = shelf.keep(both_ways(edges))
+    nodes = shelf.keep(nodes_of(edges))
+    blocks = -(-nodes.count() ** 2 // block_rows)
+    sums = []
+    for block in range(blocks):
+        own = nodes.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == block)
+        levels = [shelf.keep(own.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("paths")))]
+        while True:  # a neighbour is at most one level off, so the last two levels tell which nodes are new
+            step = levels[-1].join(around.select(F.col("a").alias("v"), "b"), "v").groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
+            for known in levels[-2:]:
+                step = step.join(known.select("s", "v"), ["s", "v"], "left_anti")
+            step = shelf.keep(step)
+            if step.isEmpty():
+                break
+            levels.append(step)
+        owed = levels[-1].select("s", "v", "paths", F.lit(0.0).alias("owed"))
+        total = []
+        for level in reversed(levels[:-1]):
+            own_sum = owed.groupBy(F.col("v").alias("node")).agg(F.sum("owed").alias("owed"))
+            total.append(shelf.keep(own_sum))
+            back = owed.join(around.select(F.col("a").alias("v"), F.col("b").alias("_to")), "v").select("s", F.col("_to").alias("v"), ((1 + F.col("owed")) / F.col("paths")).alias("_share"))
+            given = back.groupBy("s", "v").agg(F.sum("_share").alias("_share"))
+            owed = shelf.keep(level.join(given, ["s", "v"], "left").select("s", "v", "paths", (F.col("paths") * F.coalesce("_share", F.lit(0.0))).alias("owed")))
+        sums += [*total, nodes.select("node", F.lit(0.0).alias("owed"))] if block == 0 else total
+    out = sums[0]
+    for more in sums[1:]:
+        out = out.union(more)
+    return out
 
 
 def communities(edges: DataFrame, kind: str = "string") -> DataFrame:
-    """Greedy modularity: the pair of communities whose union gains most is merged while one gains."""
+    """(node, community), the largest 0: greedy modularity, in which the two communities whose union gains most are
+    merged while one gains; in a graph of more than ``SMALL_EDGES`` edges, by rounds in which all pairs that are each
+    other's best are merged at once."""
+    e = edges.select(F.col("a").cast(kind).alias("a"), F.col("b").cast(kind).alias("b"))
+    if e.limit(SMALL_EDGES + 1).count() > SMALL_EDGES:
+        return communities_by_rounds(e)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         near = _adjacency(batches)
@@ -230,4 +283,42 @@ def communities(edges: DataFrame, kind: str = "string") -> DataFrame:
         rows = [(v, k) for k, g in enumerate(sorted(groups.values(), key=lambda g: (-len(g), min(g)))) for v in sorted(g)]
         yield pd.DataFrame(rows, columns=["node", "community"])
 
-    return _whole(edges, run, f"node {kind}, community int")
+    return e.coalesce(1).mapInPandas(run, f"node {kind}, community int")
+
+
+def communities_by_rounds(edges: DataFrame) -> DataFrame:
+    """(node, community) from rounds over tables of communities and of the links between them, which shrink as
+    communities merge.  The pair of the highest gain is each other's best, so every round merges one at least."""
+    shelf = Shelf(edges.sparkSession, "communities")
+    links = shelf.keep(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(1.0).alias("w")))
+    m = float(links.count())
+    size = shelf.keep(both_ways(edges).groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).cast("double").alias("k")))
+    member = shelf.keep(size.select(F.col("c").alias("node"), F.col("c").alias("community")))
+    while True:
+        end = lambda c: size.select(F.col("c").alias(c), F.col("k").alias(f"_{c}"))
+        gain = links.join(end("a"), "a").join(end("b"), "b").select("a", "b", F.round(F.col("w") / m - F.col("_a") * F.col("_b") / (2 * m * m), 15).alias("g")).where("g > 1e-12")
+        each = gain.select(F.col("a").alias("c"), F.col("b").alias("o"), "g").union(gain.select("b", "a", "g"))
+        # of equal gains the smallest pair wins at both ends, so a chain of ties has a pair that agrees
+        rank = F.struct((-F.col("g")).alias("g"), F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"))
+        best = each.groupBy("c").agg(F.min_by("o", rank).alias("o"))
+        merges = shelf.keep(best.join(best.select(F.col("c").alias("o"), F.col("o").alias("_back")), "o").where("_back = c and o < c").select("c", F.col("o").alias("into")))
+        if merges.isEmpty():
+            break
+        to = lambda c: merges.select(F.col("c").alias(c), F.col("into").alias("_to"))
+        moved = lambda df, c: df.join(to(c), c, "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        ends = moved(moved(links, "a"), "b").where("a <> b")
+        links = shelf.keep(ends.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")))
+        size = shelf.keep(moved(size, "c").groupBy("c").agg(F.sum("k").alias("k")))
+        member = shelf.keep(moved(member, "community"))
+    sizes = member.groupBy("community").agg((-F.count(F.lit(1))).alias("_n"), F.min("node").alias("_first"))
+    placed = numbered(sizes, ["_n", "_first"], "_place")
+    return member.join(placed.select("community", F.col("_place").cast("int").alias("_k")), "community").select("node", F.col("_k").alias("community"))
+
+
+def modularity(edges: DataFrame, communities: DataFrame) -> float:
+    """Of a division (node, community): the share of edges inside minus what chance would put there."""
+    end = lambda c: communities.select(F.col("node").alias(c), F.col("community").alias(f"_{c}"))
+    m = edges.count()
+    inside = edges.join(end("a"), "a").join(end("b"), "b").where("_a = _b").count()
+    degree = both_ways(edges).join(end("a"), "a").groupBy("_a").agg(F.count(F.lit(1)).alias("k"))
+    return inside / m - (degree.agg(F.sum(F.pow(F.col("k") / (2 * m), 2))).first()[0] or 0.0) if m else 0.0
