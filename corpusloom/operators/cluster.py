@@ -334,10 +334,11 @@ def class_weights(words: DataFrame, topic: str) -> DataFrame:
 
 
 def class_keywords(docs: DataFrame, topic: str, tokens: Column, n: int) -> DataFrame:
-    """The ``n`` words of the highest class-based weight in each topic."""
+    """The ``n`` words of the highest class-based weight in each topic.  Texts are read once, for the table of words."""
     from .stats import top_per_group
 
-    return top_per_group(class_weights(class_words(docs, topic, tokens), topic), topic, "weight", "word", n)
+    words = Shelf(docs.sparkSession, "words").keep(class_words(docs, topic, tokens))
+    return top_per_group(class_weights(words, topic), topic, "weight", "word", n)
 
 
 def cosine_topk(df: DataFrame, key: str, vector: str, queries: DataFrame, k: int, block: int | None = None) -> DataFrame:

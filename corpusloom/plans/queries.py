@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vectors as V
 from ..functions.stemmer import stem_tokens
-from ..operators import backends, canon, cluster, extract, flow, graph, models, resolve, stats
+from ..operators import align, backends, canon, cluster, extract, flow, graph, models, resolve, stats
 from ..sources import adapters as A
 from ..sources import web
 
@@ -234,15 +234,26 @@ def softmax_threshold(spark, d):
 
 
 class _Graph:
-    """The tables of the knowledge phase.  Texts are read once: every branch starts from the kept names."""
+    """The tables of the knowledge phase.  Texts are read once: every branch starts from the kept names.
 
-    def __init__(self, spark: SparkSession, d: str):
+    Clusters are equal names, or with ``embedded`` density clusters of embeddings: of mentions by type, of relations
+    and events as a whole.
+    """
+
+    def __init__(self, spark: SparkSession, d: str, embedded: bool = False):
         e = A.from_names(graph.materialise(A.names(spark, d)))
         self.articles = A.articles(spark, d)
         self.mentions, self.relations, self.events = extract.mentions(e), extract.relations(e), extract.events(e)
-        self.clusters = canon.mention_clusters(self.mentions)
-        self.rel_clusters = canon.relation_clusters(self.relations)
-        self.evt_clusters = canon.event_clusters(self.events)
+        if embedded:
+            kinds = align.with_types(cluster.embed_rows(self.mentions.withColumn("body", F.lit("")), "mention_id", "mentions"), self.mentions)
+            self.clusters = graph.materialise(cluster.density_clusters(kinds, "mention_id", "embedding", F.col("type"), "ent", 2).select("mention_id", "cluster_id"))
+            whole = lambda rows, key, preset, least: graph.materialise(cluster.density_clusters(cluster.embed_rows(rows, key, preset), key, "embedding", F.lit("all"), preset[:3], least).select(key, "cluster_id"))
+            self.rel_clusters = whole(self.relations, "relation_id", "relations", 3)
+            self.evt_clusters = whole(self.events, "event_id", "events", 2)
+        else:
+            self.clusters = canon.mention_clusters(self.mentions)
+            self.rel_clusters = canon.relation_clusters(self.relations)
+            self.evt_clusters = canon.event_clusters(self.events)
         self.entities = canon.canonical_entities(self.mentions, self.clusters)
         self.rel_types = canon.canonical_types(self.relations, self.rel_clusters, "relation_id", "relation", "rt_")
         self.evt_types = canon.canonical_types(self.events, self.evt_clusters, "event_id", "event_type", "et_")

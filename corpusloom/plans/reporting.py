@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import text as X
-from ..operators import align, cluster, extract, graph, models, stats, topics
+from ..operators import align, cluster, extract, graph, models, paragraphs, stats, topics
+from ..operators.tables import Shelf
 from ..sources import adapters as A
 from . import oracles as O
 from .queries import QUERIES as EARLIER
@@ -49,6 +50,19 @@ def mention_type_clusters(spark, d):
     return cluster.density_clusters(align.with_types(cluster.embed_rows(rows, "mention_id", "mentions"), g.mentions), "mention_id", "embedding", F.col("type"), "ent", 2)
 
 
+@query()
+def graph_triples_embedded(spark, d):
+    """The knowledge graph from clusters of embeddings: mentions by name inside each type, relations and events whole."""
+    return _Graph(spark, d, embedded=True).triples("keep_null")
+
+
+@query()
+def document_vectors(spark, d):
+    """Paragraph vectors of the benchmark's texts: 100 numbers, 40 passes, words used twice."""
+    docs = A.table(spark, d, "benchmark").select("item_id", _words().alias("tokens"))
+    return paragraphs.fit_document_vectors(docs, "item_id", "tokens")[0]
+
+
 @query("WITH a AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS k FROM documents), b AS (SELECT quality, toxic, row_number() OVER (ORDER BY doc_id) AS k FROM labels) SELECT doc_id, lang, quality, toxic FROM a LEFT JOIN b USING (k)")
 def positional_alignment(spark, d):
     labels = A.table(spark, d, "labels")
@@ -125,7 +139,7 @@ _INTO = "CASE WHEN topic_id < 10 THEN topic_id % 2 ELSE topic_id END"
 def merged_topic_words(spark, d):
     """Counts and keywords of merged topics (sources, some of which are put together), from their parts' word table."""
     docs = _docs(spark, d).withColumn("topic_id", F.substring("source", 4, 9).cast("int"))
-    words = cluster.class_words(docs, "topic_id", _words())
+    words = Shelf(spark, "words").keep(cluster.class_words(docs, "topic_id", _words()))
     into = words.select("topic_id").distinct().withColumn("into", F.expr(_INTO))
     merged = topics.merged_words(words, into, "topic_id")
     best = stats.top_per_group(cluster.class_weights(merged, "topic_id"), "topic_id", "weight", "word", 10)
