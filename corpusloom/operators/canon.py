@@ -35,10 +35,15 @@ def own_key(cluster: Column, key: Column) -> Column:
 
 
 def first_seen(df: DataFrame, group: str, value: str, order: list[str], most: int | None = None) -> DataFrame:
-    """(group, values): distinct values in the order first seen, the first ``most`` of them."""
+    """(group, values): distinct values in the order first seen, the first ``most`` of them, which are cut before
+    they are listed."""
+    from pyspark.sql.window import Window
+
     seen = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.min(F.struct(*order)).alias("_at"))
+    if most is not None:
+        seen = seen.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy("_at", value))).where(F.col("_k") <= most)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_at", F.col(value).alias("_v")))), lambda x: x["_v"])
-    return seen.groupBy(group).agg((listed if most is None else F.slice(listed, 1, most)).alias(f"{value}s"))
+    return seen.groupBy(group).agg(listed.alias(f"{value}s"))
 
 
 def first_rows(df: DataFrame, group: str, value: str, order: list[str], most: int) -> DataFrame:

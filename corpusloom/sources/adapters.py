@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The names that the data contract gives to entity types, confidence and frames.
 ENTITY_TYPES = ("PER", "ORG", "LOC", "PROJ", "NORM", "DATE", "MONEY")
 CONFIDENCE = ("high", "medium", "low")
 FRAMES = ("problem", "diagnosis", "responsibles", "solution")
