@@ -549,6 +549,13 @@ def closeness_centrality(spark, d):
     return graph.closeness_centrality(_nations(spark, d))
 
 
+@query
+def sketched_closeness(spark, d):
+    """Parts and the suppliers that delivered them, as one graph."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    return graph.sketched_closeness(A.table(spark, d, "lineitem").select(name("p", "l_partkey").alias("a"), name("s", "l_suppkey").alias("b")).distinct())
+
+
 @query
 def clustering_coefficient(spark, d):
     return graph.clustering_coefficient(_nations(spark, d))

@@ -49,6 +49,52 @@ def test_communities_by_rounds(spark, monkeypatch):
     assert graph.communities_by_rounds(ties).count() == 41 and graph.communities_by_rounds(ties.limit(0)).count() == 0
 
 
+def hops(pairs):
+    """(reached, total distance) of each node by breadth-first search."""
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    out = {}
+    for s in near:
+        seen, line = {s: 0}, [s]
+        for v in line:
+            for w in near[v]:
+                if w not in seen:
+                    seen[w] = seen[v] + 1
+                    line.append(w)
+        out[s] = len(seen) - 1, sum(seen.values())
+    return out
+
+
+def test_sketched_closeness_counts_small_graphs_exactly(spark):
+    edges = planted(spark).union(spark.createDataFrame([("x", "y"), ("y", "z"), ("y", "x"), ("w", "w"), ("x", None)], "a string, b string"))
+    got = {r["node"]: r for r in graph.sketched_closeness(edges).collect()}
+    clean = edges.where("b is not null").distinct()
+    want = hops([(r["a"], r["b"]) for r in clean.collect()])
+    assert {k: (r["reached"], r["total"]) for k, r in got.items()} == want
+    same = rows(graph.closeness_centrality(planted(spark)))
+    alone = {r["node"]: r["closeness"] for r in graph.sketched_closeness(planted(spark)).collect()}
+    assert alone == pytest.approx(same, abs=1e-6) and got["w"]["closeness"] == 0
+    assert graph.sketched_closeness(edges.limit(0)).count() == 0
+
+
+def test_sketched_closeness_keeps_its_error(spark):
+    """3,000 nodes, a hub among a third of them, and a chain of 7."""
+    g = random.Random(5)
+    pairs = {(f"n{g.randrange(min(k, 40)):04d}", f"n{k:04d}") for k in range(1, 3000)} | {("n0000", f"n{k:04d}") for k in range(1000, 2000)}
+    pairs |= {(f"x{k:02d}", f"x{k + 1:02d}") for k in range(7)}
+    want = hops(pairs)
+    got = graph.sketched_closeness(spark.createDataFrame(sorted(pairs), "a string, b string")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        reached, total = want[r["node"]]
+        assert r["reached"] == pytest.approx(reached, rel=0.06) and r["total"] == pytest.approx(total, rel=0.12)
+    assert sum(abs(r["total"] / want[r["node"]][1] - 1) for r in got) / len(got) < 0.03
+    few = graph.sketched_closeness(spark.createDataFrame(sorted(pairs), "a string, b string"), lg_registers=6).collect()
+    assert sum(abs(r["reached"] / want[r["node"]][0] - 1) for r in few) / len(few) < 0.2
+
+
 def test_triangles_of_a_hub(spark):
     spokes = [("hub", f"n{k:03d}") for k in range(300)] + [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(0, 300, 2)]
     edges = spark.createDataFrame([tuple(sorted(e)) for e in spokes], "a string, b string")
