@@ -114,12 +114,14 @@ def decoded(response: Response) -> str | None:
 def http_get(timeout: float = 25.0, agent: str = "Mozilla/5.0", pause: tuple[float, float] = (0.3, 1.7)) -> Callable[[str], Response]:
     """A client on the standard library that waits a random time in ``pause`` before each request."""
     from urllib.error import HTTPError
-    from urllib.request import Request, urlopen
+    from urllib.request import Request, build_opener
+
+    opener = build_opener()  # made here, as it takes long enough to upset the first request's time
 
     def get(url: str) -> Response:
         time.sleep(random.uniform(*pause))
         try:
-            with urlopen(Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
+            with opener.open(Request(url, headers={"User-Agent": agent}), timeout=timeout) as r:
                 return r.status, r.headers.get("Content-Type") or "", r.read()
         except HTTPError as e:
             return e.code, "", b""
