@@ -170,3 +170,15 @@ def test_stream_merge(spark, tmp_path):
     q = merge_stream(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "cp"), "id", "seq")
     q.awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(f"{out}/v0").select("id", "v").collect())) == [(1, "b"), (2, "c")]
+
+
+def test_mean_pool_shuffles_words_only(spark, monkeypatch):
+    """No row for each number of a vector, and the same means whether vectors are sent to the documents or joined."""
+    tokens = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c"), (3, "b"), (3, "z"), (4, None)], "doc int, word string")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [4.0, 5.0, 6.0]), ("q", [9.0])], "word string, vector array<double>")
+    want = {1: [2.0, 3.0, 6.0], 2: [0.0, 0.0], 3: [4.0, 5.0, 6.0], 4: [0.0, 0.0]}
+    for listed in (cluster.LISTED, 0):
+        monkeypatch.setattr(cluster, "LISTED", listed)
+        out = cluster.mean_pool(tokens, "doc", "word", vectors, 2)
+        assert {r["doc"]: r["vector"] for r in out.collect()} == want
+        assert "posexplode" not in out._jdf.queryExecution().toString().lower()
