@@ -182,3 +182,12 @@ def test_mean_pool_shuffles_words_only(spark, monkeypatch):
         out = cluster.mean_pool(tokens, "doc", "word", vectors, 2)
         assert {r["doc"]: r["vector"] for r in out.collect()} == want
         assert "posexplode" not in out._jdf.queryExecution().toString().lower()
+
+
+def test_workers_get_batches_bounded_by_bytes(spark, tmp_path):
+    """Long texts come to a backend in several batches."""
+    from corpusloom.sources import adapters
+
+    spark.range(40).select("id", F.repeat(F.lit("x"), 200_000).alias("text")).coalesce(1).write.parquet(str(tmp_path / "long.parquet"))
+    sizes = adapters.table(spark, str(tmp_path), "long").mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]].head(1) for b in batches), "n int").collect()
+    assert sum(r["n"] for r in sizes) == 40 and max(r["n"] for r in sizes) <= 10
