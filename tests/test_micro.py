@@ -191,3 +191,12 @@ def test_workers_get_batches_bounded_by_bytes(spark, tmp_path):
     spark.range(40).select("id", F.repeat(F.lit("x"), 200_000).alias("text")).coalesce(1).write.parquet(str(tmp_path / "long.parquet"))
     sizes = adapters.table(spark, str(tmp_path), "long").mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]].head(1) for b in batches), "n int").collect()
     assert sum(r["n"] for r in sizes) == 40 and max(r["n"] for r in sizes) <= 10
+
+
+def test_a_worker_keeps_a_bounded_number_of_stems():
+    from corpusloom.functions import stemmer
+
+    stems = stemmer._Stems()
+    for k in range(stemmer.STEMS + 10):
+        stems[f"w{k}"]
+    assert len(stems) <= stemmer.STEMS and not hasattr(stemmer.stem, "cache_info")
