@@ -76,3 +76,18 @@ def test_neighbours_have_their_recall(spark, monkeypatch):
     found = density.neighbours(rows, sizes, 10).cache()
     assert density.recall(found, rows, 10, every=10) >= 0.9
     assert found.groupBy("a").count().where("count <> 10").isEmpty()
+
+
+def test_rounds_leave_only_their_edges(spark):
+    """Tables of a round go when the next has its own, and cells are looked up without shuffling vectors twice."""
+    import os
+
+    g = np.random.default_rng(5)
+    rows = spark.createDataFrame([(k, "all", (g.normal(size=8) + 3 * (k % 40)).tolist()) for k in range(400)], "_key long, _group string, _v array<double>")
+    shelf = Shelf(spark, "rounds")
+    tree, _ = density.density_tree(rows, shelf, "euclidean", k=3)
+    assert tree.count() == 399
+    edges = sum(set(spark.read.parquet(f"{shelf.path}/{t}").columns) >= {"far", "p"} for t in os.listdir(shelf.path) if os.path.isdir(f"{shelf.path}/{t}"))
+    assert edges == 1  # the last round's open edges
+    found = density.neighbours(rows, {"all": 400}, 3, "euclidean")
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 2
