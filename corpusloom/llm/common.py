@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -14,6 +16,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 BATCH_BYTES = 1 << 20
 #: Folders of sessions in one process without a shared folder, by application.
 _own: dict[str, str] = {}
+#: What modules keep for a Python worker's later tasks.
+_kept: list[dict] = []
+
+
+def worker_store() -> dict:
+    """A store of a Python worker that ``lean`` empties."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def lean() -> None:
+    """Give the system back what a worker's earlier tasks, of whatever operator, have left."""
+    import pyarrow as pa
+
+    for store in _kept:
+        store.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
 
 
 def tune(spark: SparkSession) -> SparkSession:

@@ -38,11 +38,13 @@ from pyspark.sql import functions as F
 
 from pyspark.sql.types import StructField, StructType
 
-from .common import col, materialise, partitions, tune
+from .common import col, lean, materialise, partitions, tune
 from .shingles import mix
 
 #: Bytes of text in a block, what is sorted at once, and what arrives before equal records are settled.
-BLOCK_BYTES, SORT_BYTES, SETTLE_BYTES = 2 << 20, 3 << 20, 16 << 20
+BLOCK_BYTES, SORT_BYTES, SETTLE_BYTES = 2 << 20, 1 << 20, 8 << 20
+#: Bytes of a block whose anchors are looked for at once, in some ten numbers a byte.
+ANCHOR_BYTES = 1 << 18
 #: Level of compression of blocks and records.
 LEVEL = 6
 #: Bytes of an anchor.
@@ -69,6 +71,7 @@ _RECORD = np.dtype([("key", "<u8"), ("doc", "<i8"), ("uid", "<i8"), ("lo", "<i4"
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of documents: identifiers and sizes, texts, and the other columns as an Arrow stream."""
+    lean()
     from pyspark import TaskContext
 
     part, seq, ids, raws, others, size = TaskContext.get().partitionId(), 0, [], [], [], 0
@@ -135,11 +138,26 @@ def digits(text: np.ndarray) -> np.ndarray:
 
 def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """hash, position, first and last window (positions in the block) and document of each anchor."""
-    none = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4)
-    n, gram = len(block.text), min(GRAM, length)
+    # no window crosses documents, so runs of whole documents go one after another
+    cut = np.flatnonzero(np.diff(block.starts // ANCHOR_BYTES)) + 1
+    edges = [0, *cut.tolist(), len(block.sizes)]
+    found = []
+    for x, y in zip(edges, edges[1:]):
+        if y > x:
+            base = block.starts[x]
+            h, *places, doc = _anchors(block.text[base : block.ends[y - 1]], block.sizes[x:y], length)
+            found.append((h, *(p + base for p in places), doc + x))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else _NO_ANCHORS
+
+
+_NO_ANCHORS = (np.zeros(0, np.uint64), *(np.zeros(0, np.int64),) * 4)
+
+
+def _anchors(text: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, gram = len(text), min(GRAM, length)
     if n < length:
-        return none
-    w = digits(block.text)
+        return _NO_ANCHORS
+    w = digits(text)
     h = np.zeros(n, np.uint64)
     for at in sorted({*range(0, gram - 7, 8), max(0, gram - 8)}):
         h[: n - at] = mix(h[: n - at] ^ (w[at:] if gram >= 8 else w[at:] >> np.uint64(64 - 8 * gram)))
@@ -150,12 +168,12 @@ def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         span *= 2
     if wide > span:
         best = np.minimum(best[: len(best) - (wide - span)], best[wide - span :])
-    doc = np.repeat(np.arange(len(block.sizes)), np.maximum(block.sizes - length + 1, 0))
-    windows = np.maximum(block.sizes - length + 1, 0)
+    doc = np.repeat(np.arange(len(sizes)), np.maximum(sizes - length + 1, 0))
+    windows = np.maximum(sizes - length + 1, 0)
     first = np.cumsum(windows) - windows
-    where = np.arange(len(doc)) - np.repeat(first, windows) + block.starts[doc]
+    where = np.arange(len(doc)) - np.repeat(first, windows) + (np.cumsum(sizes) - sizes)[doc]
     if not len(where):
-        return none
+        return _NO_ANCHORS
     pick = (best[where] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     new = np.ones(len(pick), bool)
     new[1:] = (pick[1:] != pick[:-1]) | (doc[1:] != doc[:-1])
@@ -166,6 +184,7 @@ def anchors(block: Block, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """For each block and bucket of hashes: its distinct hashes and how often each occurs."""
+    lean()
     for b in batches:
         for block, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             found, n = np.unique(anchors(Block(payload), length)[0], return_counts=True)
@@ -187,6 +206,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by bucket: for each block, those of its hashes that occur twice or more."""
+    lean()
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(h, np.uint64) for _, h, _ in rows]
@@ -227,6 +247,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _records(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by block and part: the repeated hashes of a block, then the block."""
+    lean()
     now, known, often = None, [], []
     for b in batches:
         for block, part, x, y in zip(*(c.to_pylist() for c in b.columns)):
@@ -446,6 +467,7 @@ class Gathered:
 
 def _sort(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Of packed records: spans that repeat earlier bytes."""
+    lean()
     all_ = Gathered()
     for b in batches:
         for block, kind, payload in zip(*(b.column(c).to_pylist() for c in ("block", "kind", "payload"))):
@@ -537,6 +559,7 @@ def _kept(block: Block, spans: list[np.ndarray]) -> Iterator[tuple[int, bytes, i
 def _cut(batches: Iterator[pa.RecordBatch], rows) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by block and part: the spans of a block, then the block.  ``rows`` makes the output
     columns of a block."""
+    lean()
     now, spans = None, []
     for b in batches:
         for block, part, payload in zip(*(c.to_pylist() for c in b.columns)):

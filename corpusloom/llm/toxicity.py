@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import col, materialise, tune
+from .common import col, materialise, tune, worker_store
 
 #: Bounds of the training sample: texts of each class, characters of each text.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1200, 5000
@@ -277,7 +277,7 @@ class Scorer:
         return out
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[int, Scorer] = worker_store()
 
 
 def _scorer(params: dict[str, np.ndarray]) -> Scorer:
