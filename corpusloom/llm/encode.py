@@ -2,7 +2,10 @@
 
 Texts are cut at white space where no token of the vocabulary can cross.  Words
 that a worker doesn't remember are encoded by the library in one call for a whole
-batch of texts, set apart by a special token, and their ids are remembered.  Texts
+batch of texts, set apart by a special token, and their ids are remembered.  Words
+of Latin letters, digits and signs are split here by the two public patterns, and
+the library gets the pieces without its normaliser and splitter, most of its time.
+Texts
 whose white space makes cutting unsafe, and texts that hold a special token's own
 letters, are encoded whole by the library.  The ids are those of ``encode`` with
 ``add_special_tokens=False``.
@@ -12,13 +15,17 @@ Defined cases: a null text is empty and has no ids.
 
 from __future__ import annotations
 
+import json
 import re
+from codecs import charmap_decode
 from collections.abc import Iterable
 from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from .common import worker_store
+
 #: Words in the young half of the cache, and words that the library gets at once.
 WORDS, AT_ONCE = 200_000, 100
 #: White space beyond ASCII, and separators on which libraries differ.
@@ -26,6 +33,22 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _ODD_ASCII = "\x1c\x1d\x1e\x1f"
 #: Runs of white space, or white space other than blanks and newlines.
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f")
+#: Characters below U+0180 but white space, controls and U+0130: their case and composition are one to one.
+_PLAIN = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u017f]+")
+_L, _N = "A-Za-zªµº\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9²³¹¼½¾"
+#: The splitters' patterns on plain words: byte-level (a blank or newline may come first), and lower-cased.
+_SPACED = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n{_L}{_N}]+|\n")
+_LOWERED = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ {_L}{_N}]+| ")
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+#: (normaliser, splitter, suffix) as vocabulary files have them, for which the patterns hold.
+_KNOWN = (
+    (None, _BYTE_LEVEL | {"use_regex": True}, None, _SPACED),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, _BYTE_LEVEL | {"use_regex": False}]},
+        "</w>", _LOWERED,
+    ),
+)
 
 
 def byte_letters() -> dict[int, str]:
@@ -56,9 +79,20 @@ class Encoder:
         self.folded = any(t.normalized for t in added.values())
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        made = json.loads(self.whole.to_str())
+        self.pattern = next((p for normaliser, splitter, suffix, p in _KNOWN if made["normalizer"] == normaliser and made["pre_tokenizer"] == splitter and made["model"].get("end_of_word_suffix") == suffix), None)
+        if self.pattern is not None:
+            self.light = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            # of pieces: a blank parts them; a word begins with its blank or newline, or its pieces end with the suffix
+            letters = byte_letters() | {0: " "} | ({} if self.spaced else {32: " "})
+            self.letters = "".join(letters[b] for b in range(256))
+            self.edges = np.zeros(self.whole.get_vocab_size(True), bool)
+            self.edges[[i for t, i in self.whole.get_vocab(False).items() if (t[0] in "\u0120\u010a" if self.spaced else t.endswith("</w>"))]] = True
 
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of ``words``."""
+        if self.pattern is not None:
+            words = self._learn_plain(words)
         for a in range(0, len(words), AT_ONCE):
             own = some = words[a : a + AT_ONCE]
             if self.spaced:  # how a word stands in its text: first, after a newline or after a blank
@@ -75,6 +109,31 @@ class Encoder:
             raw = ids.tobytes()
             self.young.update(zip(own, [raw[x:y] for x, y in zip(np.append(0, stop[:-1] + 4).tolist(), stop.tolist())]))
 
+    def _learn_plain(self, words: list[str]) -> list[str]:
+        """Remember the ids of plain words; the other words."""
+        plain, other = [], []
+        for w in words:
+            (plain if _PLAIN.fullmatch(w, self.spaced and w[0] == "\n" and len(w) > 1) else other).append(w)
+        for a in range(0, len(plain), AT_ONCE):
+            own = plain[a : a + AT_ONCE]
+            if self.spaced:
+                found = self.pattern.findall("".join([w if w[0] == "\n" else " " + w for w in own]))
+            else:
+                found = self.pattern.findall(" ".join(own).lower())
+            text = "\0".join(found)
+            ids = np.array(self.light.encode_batch_fast([charmap_decode(text.encode(), "strict", self.letters)[0]], add_special_tokens=False)[0].ids, "<u4")
+            edge = np.flatnonzero(self.edges[ids]) * 4
+            if self.spaced:
+                stop = np.append(edge[1:], 4 * len(ids))
+            else:
+                edge, pieces = edge + 4, np.cumsum([x.count("\0") + 1 for x in text.split("\0 \0")])
+                stop = edge[pieces - 1] if len(edge) == pieces[-1] else edge[:0]
+            if len(stop) != len(own):
+                raise ValueError("a token crosses pieces")
+            raw, stop = ids.tobytes(), stop.tolist()
+            self.young.update(zip(own, [raw[x:y] for x, y in zip([0, *stop], stop)]))
+        return other
+
     def _words(self, text: str) -> list[str] | None:
         """The words whose ids, end to end, are the text's; None if it can't be cut."""
         if (any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD.search(text)) or any(t in text for t in self.special) or self.folded and any(t in text.lower() for t in self.special):
@@ -93,25 +152,31 @@ class Encoder:
         if len(self.young) > WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = set(chain.from_iterable(filter(None, cut))).difference(young)
-        known = [w for w in new if w in old]
-        young.update(zip(known, map(old.__getitem__, known)))
-        if len(known) < len(new):
-            self._learn(list(new.difference(known)))
-        get = young.__getitem__
-        out = []
+        flat = list(chain.from_iterable(filter(None, cut)))
+        ids = list(map(young.get, flat))
+        if None in ids:
+            lost = [k for k, x in enumerate(ids) if x is None]
+            new = {flat[k] for k in lost}
+            known = [w for w in new if w in old]
+            young.update(zip(known, map(old.__getitem__, known)))
+            if len(known) < len(new):
+                self._learn(list(new.difference(known)))
+            for k in lost:
+                ids[k] = young[flat[k]]
+        out, at = [], 0
         for text, words in zip(texts, cut):
             if words is None:
                 out.append(_packed(self.whole.encode(text, add_special_tokens=False).ids))
             else:
-                out.append(b"".join(map(get, words)) if words else b"")
+                out.append(b"".join(ids[at : at + len(words)]))
+                at += len(words)
         return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = worker_store()
 
 
 def encoder(path: str) -> Encoder:
