@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import graph
+from corpusloom.operators import graph, sketches
 
 
 def planted(spark, seed=3, groups=5, size=14):
@@ -95,6 +95,28 @@ def test_sketched_closeness_keeps_its_error(spark):
     assert sum(abs(r["reached"] / want[r["node"]][0] - 1) for r in few) / len(few) < 0.2
 
 
+def test_sketches_by_blocks_count_as_those_along_edges(spark, monkeypatch):
+    """Nodes of some hundred neighbours, three parts, a chain, a node alone: a row a node and block moves, not a row an edge."""
+    g = random.Random(6)
+    pairs = {(f"p{k % 3}-{k:04d}", f"s{k % 3}-{g.randrange(30):02d}") for k in range(1500) for _ in range(4)}
+    pairs |= {(f"x{k:02d}", f"x{k + 1:02d}") for k in range(5)} | {("x03", "x02"), ("w", "w"), ("w", None)}
+    edges = spark.createDataFrame(sorted(pairs, key=str), "a string, b string")
+    along = {r["node"]: r for r in graph.sketched_closeness(edges).collect()}
+    monkeypatch.setattr(graph, "SMALL_EDGES", 5)
+    monkeypatch.setattr(sketches, "BAND_BYTES", 4 << 20)  # two bands
+    monkeypatch.setattr(sketches, "BLOCK_EDGES", 2000)
+    sent = []
+    monkeypatch.setattr(graph, "both_ways", sent.append)  # what sends along edges
+    got = {r["node"]: r for r in graph.sketched_closeness(edges).collect()}
+    want = hops([p for p in pairs if p[1]])
+    assert not sent and got.keys() == want.keys()
+    for k, r in got.items():
+        if k[0] in "xw":
+            assert (r["reached"], r["total"]) == want[k]
+        assert r["reached"] == pytest.approx(want[k][0], rel=0.06) and r["total"] == pytest.approx(want[k][1], rel=0.12)
+        assert r["closeness"] == pytest.approx(along[k]["closeness"], rel=0.03)
+
+
 def test_triangles_of_a_hub(spark):
     spokes = [("hub", f"n{k:03d}") for k in range(300)] + [(f"n{k:03d}", f"n{k + 1:03d}") for k in range(0, 300, 2)]
     edges = spark.createDataFrame([tuple(sorted(e)) for e in spokes], "a string, b string")
