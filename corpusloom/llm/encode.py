@@ -26,8 +26,8 @@ from tokenizers import Tokenizer
 
 from .common import worker_store
 
-#: Words in the young half of the cache, and words that the library gets at once.
-WORDS, AT_ONCE = 200_000, 100
+#: Words in the young half of the cache (some 170 bytes each), and words that the library gets at once.
+WORDS, AT_ONCE = 600_000, 100
 #: White space beyond ASCII, and separators on which libraries differ.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _ODD_ASCII = "\x1c\x1d\x1e\x1f"
@@ -153,16 +153,13 @@ class Encoder:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         flat = list(chain.from_iterable(filter(None, cut)))
-        ids = list(map(young.get, flat))
-        if None in ids:
-            lost = [k for k, x in enumerate(ids) if x is None]
-            new = {flat[k] for k in lost}
+        new = set(flat).difference(young)
+        if new:
             known = [w for w in new if w in old]
             young.update(zip(known, map(old.__getitem__, known)))
             if len(known) < len(new):
                 self._learn(list(new.difference(known)))
-            for k in lost:
-                ids[k] = young[flat[k]]
+        ids = list(map(young.__getitem__, flat))
         out, at = [], 0
         for text, words in zip(texts, cut):
             if words is None:

@@ -1,11 +1,14 @@
 """Words that are split here against the library's own encoding."""
 
 import random
+import zlib
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from corpusloom.llm import encode
+from corpusloom.llm import encode, token_shards
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
@@ -37,3 +40,27 @@ def test_any_letters_encode_as_the_library_does(name):
     enc = encode.Encoder(public_tokenizers.path(name))
     want = [encode._packed(e.ids) for e in enc.whole.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
     assert [x for a in range(0, len(texts), 250) for x in enc.encode_all(texts[a : a + 250])] == want
+
+
+def test_words_that_return_are_not_encoded_again():
+    """Half a million words between two uses of a word are within the cache."""
+    enc = encode.Encoder(public_tokenizers.path(FILES[0]))
+    texts = [" ".join(f"w{k}" for k in range(a, a + 5000)) for a in range(0, 500_000, 5000)]
+    first = [enc.encode_all([t])[0] for t in texts]
+    asked = []
+    enc._learn = asked.extend
+    assert [enc.encode_all([t])[0] for t in texts] == first and asked == []
+
+
+def test_shards_are_read_in_one_expansion(monkeypatch):
+    """Reading a whole shard expands its symbols once, not for each document."""
+    g = np.random.default_rng(4)
+    docs = [(k, g.integers(0, 30, g.integers(0, 90)).astype("<u4")) for k in range(200)]
+    payload, made = token_shards.pack(docs, 50), []
+    expand = token_shards.Grammar.expand
+    monkeypatch.setattr(token_shards.Grammar, "expand", lambda self, seq: made.append(1) or expand(self, seq))
+    batch = pa.RecordBatch.from_pydict({"part": [0], "base": [7], "payload": [payload]})
+    (got,) = token_shards._read(iter([batch]))
+    sizes = [len(x) for _, x in docs]
+    assert got.column(2).to_pylist() == [7 + sum(sizes[:k]) for k in range(200)] and got.column(3).to_pylist() == sizes
+    assert got.column(4).to_pylist() == [zlib.crc32(x) for _, x in docs] and len(made) < 50
