@@ -19,22 +19,24 @@ import json
 import re
 from codecs import charmap_decode
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from .common import worker_store
 
 #: Words in the young half of the cache (some 170 bytes each), and words that the library gets at once.
-WORDS, AT_ONCE = 600_000, 100
+WORDS, AT_ONCE = 1_000_000, 150
 #: White space beyond ASCII, and separators on which libraries differ.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 _ODD_ASCII = "\x1c\x1d\x1e\x1f"
 #: Runs of white space, or white space other than blanks and newlines.
 _RUNS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\v", "\f")
 #: Characters below U+0180 but white space, controls and U+0130: their case and composition are one to one.
-_PLAIN = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u017f]+")
+#: Runs of others; words are parted by blanks, and a newline only begins one.
+_NOT_PLAIN = re.compile("[^ \n\r!-~\xa1-\xac\xae-\u012f\u0131-\u017f]+")
 _L, _N = "A-Za-zªµº\xc0-\xd6\xd8-\xf6\xf8-\u017f", "0-9²³¹¼½¾"
 #: The splitters' patterns on plain words: byte-level (a blank or newline may come first), and lower-cased.
 _SPACED = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^ \n{_L}{_N}]+|\n")
@@ -58,6 +60,16 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+def _listed(values: pa.LargeStringArray, apart: str) -> list[str]:
+    """The strings, none of which holds ``apart``; sooner made from one string than one by one."""
+    ended = pc.binary_join_element_wise(values, *(pa.scalar(x, pa.large_string()) for x in ("", apart)))
+    return ended.buffers()[2].to_pybytes()[: _offsets(ended)[-1]].decode().split(apart)[:-1]
+
+
+def _offsets(values: pa.LargeStringArray | pa.LargeBinaryArray) -> np.ndarray:
+    return np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, 8 * values.offset)
+
+
 def _packed(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
@@ -83,11 +95,12 @@ class Encoder:
         self.pattern = next((p for normaliser, splitter, suffix, p in _KNOWN if made["normalizer"] == normaliser and made["pre_tokenizer"] == splitter and made["model"].get("end_of_word_suffix") == suffix), None)
         if self.pattern is not None:
             self.light = Tokenizer.from_str(json.dumps(made | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
-            # of pieces: a blank parts them; a word begins with its blank or newline, or its pieces end with the suffix
+            # of pieces: a blank parts them
             letters = byte_letters() | {0: " "} | ({} if self.spaced else {32: " "})
             self.letters = "".join(letters[b] for b in range(256))
-            self.edges = np.zeros(self.whole.get_vocab_size(True), bool)
-            self.edges[[i for t, i in self.whole.get_vocab(False).items() if (t[0] in "\u0120\u010a" if self.spaced else t.endswith("</w>"))]] = True
+            self.sizes = np.zeros(self.whole.get_vocab_size(True), np.int64)
+            for t, i in self.whole.get_vocab(False).items():
+                self.sizes[i] = len(t.removesuffix("" if self.spaced else "</w>"))
 
     def _learn(self, words: list[str]) -> None:
         """Remember the ids of ``words``."""
@@ -110,63 +123,99 @@ class Encoder:
             self.young.update(zip(own, [raw[x:y] for x, y in zip(np.append(0, stop[:-1] + 4).tolist(), stop.tolist())]))
 
     def _learn_plain(self, words: list[str]) -> list[str]:
-        """Remember the ids of plain words; the other words."""
-        plain, other = [], []
-        for w in words:
-            (plain if _PLAIN.fullmatch(w, self.spaced and w[0] == "\n" and len(w) > 1) else other).append(w)
-        for a in range(0, len(plain), AT_ONCE):
-            own = plain[a : a + AT_ONCE]
-            if self.spaced:
-                found = self.pattern.findall("".join([w if w[0] == "\n" else " " + w for w in own]))
-            else:
-                found = self.pattern.findall(" ".join(own).lower())
-            text = "\0".join(found)
-            ids = np.array(self.light.encode_batch_fast([charmap_decode(text.encode(), "strict", self.letters)[0]], add_special_tokens=False)[0].ids, "<u4")
-            edge = np.flatnonzero(self.edges[ids]) * 4
-            if self.spaced:
-                stop = np.append(edge[1:], 4 * len(ids))
-            else:
-                edge, pieces = edge + 4, np.cumsum([x.count("\0") + 1 for x in text.split("\0 \0")])
-                stop = edge[pieces - 1] if len(edge) == pieces[-1] else edge[:0]
-            if len(stop) != len(own):
-                raise ValueError("a token crosses pieces")
-            raw, stop = ids.tobytes(), stop.tolist()
-            self.young.update(zip(own, [raw[x:y] for x, y in zip([0, *stop], stop)]))
+        """Remember the ids of plain words; the other words.  A piece that several words share is encoded once."""
+        odd = [m.start() for m in _NOT_PLAIN.finditer(" ".join(words))]
+        if odd:
+            stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+            odd = sorted({*np.searchsorted(stops, odd, "right").tolist()})
+            other, odd = [words[k] for k in odd], {*odd}
+            words = [w for k, w in enumerate(words) if k not in odd]
+        else:
+            other = []
+        if not words:
+            return other
+        if self.spaced:  # a first word stands as one after a newline, but for that newline's id
+            found = self.pattern.findall("".join(["\n" + w[1:] if w[0] == "\r" else w if w[0] == "\n" else " " + w for w in words]))
+        else:
+            found = self.pattern.findall(" ".join(words).lower())
+        pieces = pa.array(found, pa.large_string()).dictionary_encode()
+        alike, at = _listed(pieces.dictionary, "\0"), pieces.indices.to_numpy()
+        if self.spaced:
+            begins = np.flatnonzero(np.array([x[0] in " \n" for x in alike])[at])
+        else:  # blanks part words here
+            blank = alike.index(" ") if " " in alike else len(alike)
+            stops = np.flatnonzero(at == blank)
+            begins, at = np.append(0, stops - np.arange(len(stops))), at[at != blank]
+            at -= at > blank
+            alike = [x for x in alike if x != " "]
+        if len(begins) != len(words):
+            raise ValueError("a piece crosses words")
+        own = self._pieces(alike).take(pa.array(at))
+        stops = _offsets(own)[np.append(begins[1:], len(own))].tolist()
+        raw = own.buffers()[2].to_pybytes()
+        self.young.update(zip(words, [raw[x:y] for x, y in zip([0, *stops], stops)]))
+        if self.spaced:
+            self.young.update([(w, self.young[w][4:]) for w in words if w[0] == "\r"])
         return other
 
-    def _words(self, text: str) -> list[str] | None:
-        """The words whose ids, end to end, are the text's; None if it can't be cut."""
+    def _pieces(self, pieces: list[str]) -> pa.LargeBinaryArray:
+        """Ids of pieces, which the library gets parted by blanks without its normaliser and splitter."""
+        letters, ids = charmap_decode("\0".join(pieces).encode(), "strict", self.letters)[0].split(" "), []
+        for a in range(0, len(letters), AT_ONCE):
+            ids += self.light.encode_batch_fast([" ".join(letters[a : a + AT_ONCE])], add_special_tokens=False)[0].ids
+        ids = np.array(ids, "<u4")
+        # tokens are as long together as their piece
+        done, ends = np.cumsum(self.sizes[ids]), np.cumsum(np.fromiter(map(len, letters), np.int64, len(letters)))
+        last = np.searchsorted(done, ends)
+        if last[-1] != len(ids) - 1 or (done[last] != ends).any():
+            raise ValueError("a token crosses pieces")
+        return pa.Array.from_buffers(pa.large_binary(), len(letters), [None, pa.py_buffer(np.append(0, 4 * (last + 1))), pa.py_buffer(ids)])
+
+    def _words(self, text: str) -> str | None:
+        """The words whose ids, end to end, are the text's, parted by single blanks; None if it can't be cut."""
         if (any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD.search(text)) or any(t in text for t in self.special) or self.folded and any(t in text.lower() for t in self.special):
             return None
         if not self.spaced:
-            return text.split()
+            return " ".join(text.split())
         if text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS):
             return None
-        words = text.replace("\n", " \n").split(" ")
-        words[0] = "\r" + words[0]  # the mark of a first word: no text that is cut has it
-        return words
+        return "\r" + text.replace("\n", " \n")  # the mark of a first word: no text that is cut has it
 
     def encode_all(self, texts: Iterable[str | None]) -> list[bytes]:
         texts = [t or "" for t in texts]
-        cut = [self._words(t) if t else [] for t in texts]
+        cut = [self._words(t) if t else "" for t in texts]
         if len(self.young) > WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        flat = list(chain.from_iterable(filter(None, cut)))
-        new = set(flat).difference(young)
-        if new:
-            known = [w for w in new if w in old]
-            young.update(zip(known, map(old.__getitem__, known)))
-            if len(known) < len(new):
-                self._learn(list(new.difference(known)))
-        ids = list(map(young.__getitem__, flat))
+        full = [c for c in cut if c]
+        raw, stops = b"", iter(())
+        if full:
+            # each word of the batch is looked up once
+            flat = pc.split_pattern(pa.array([" ".join(full)], pa.large_string()), " ").values.dictionary_encode()
+            words = _listed(flat.dictionary, " ")
+            ids = list(map(young.get, words))
+            new = [k for k, x in enumerate(ids) if x is None]
+            if new:
+                lost = [words[k] for k in new]
+                known = [w for w in lost if w in old]
+                young.update(zip(known, map(old.__getitem__, known)))
+                if len(known) < len(new):
+                    self._learn([w for w in lost if w not in old])
+                for k, w in zip(new, lost):
+                    ids[k] = young[w]
+            ids = pa.array(ids, pa.large_binary()).take(flat.indices)
+            raw = ids.buffers()[2].to_pybytes()
+            stops = iter(_offsets(ids)[np.cumsum([c.count(" ") + 1 for c in full])].tolist())
         out, at = [], 0
         for text, words in zip(texts, cut):
             if words is None:
                 out.append(_packed(self.whole.encode(text, add_special_tokens=False).ids))
+            elif words:
+                stop = next(stops)
+                out.append(raw[at:stop])
+                at = stop
             else:
-                out.append(b"".join(ids[at : at + len(words)]))
-                at += len(words)
+                out.append(b"")
         return out
 
     def encode(self, text: str | None) -> bytes:

@@ -41,6 +41,8 @@ NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sIIIIIQ")
 #: Ids that close a shard.
 SHARD_IDS = 1 << 19
+#: Bytes of texts that are encoded together: each of their words is looked up once.
+AT_ONCE = 8 << 20
 #: Uses that pay for a rule.
 MIN_USES = 6
 
@@ -63,13 +65,14 @@ def compress(ids: np.ndarray, first: int, least: int = MIN_USES) -> tuple[np.nda
         if len(at) < least:
             break
         bits = max(10, min(18, len(at).bit_length()))  # slots that stay in a core's cache
-        key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int32)
+        left, right = (seq[:-1], seq[1:]) if len(at) == len(live) else (seq[at], seq[at + 1])
+        key = left.astype(np.uint64) << np.uint64(32) | right
+        slot = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)  # indexes as numpy takes them
         owner = np.zeros(1 << bits, np.uint64)
         owner[slot] = key
         mine = owner[slot] == key
         count = np.bincount(slot[mine], minlength=1 << bits)
-        often = mine & (count[slot] >= least)
+        often = mine & (count >= least)[slot]
         live[at[mine & ~often]] = False
         place, slot = at[often], slot[often]
         if not len(place):
@@ -77,11 +80,12 @@ def compress(ids: np.ndarray, first: int, least: int = MIN_USES) -> tuple[np.nda
         # neighbouring places overlap: of each run of them take every other one
         fresh = np.ones(len(place), bool)
         fresh[1:] = np.diff(place) > 1
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
-        odd = (np.arange(len(place)) - run) % 2 == 0
+        run = np.maximum.accumulate(np.where(fresh, here := np.arange(len(place)), 0))
+        odd = (here - run) & 1 == 0
         used = np.bincount(slot[odd], minlength=1 << bits)
-        live[place[used[slot] < 3]] = False
-        odd &= used[slot] >= 3
+        pays = (used >= 3)[slot]
+        live[place[~pays]] = False
+        odd &= pays
         place, slot = place[odd], slot[odd]
         if not len(place):
             continue
@@ -210,6 +214,20 @@ class Shard:
         return self.read(int(self.starts[k]), int(stop - self.starts[k]))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str | None]]]:
+    """Identifiers and texts of so many batches that they hold ``AT_ONCE`` bytes; the rest at the end."""
+    keys, texts, held = [], [], 0
+    for b in batches:
+        keys += b.column(0).to_pylist()
+        texts += b.column(1).to_pylist()
+        held += b.nbytes
+        if held >= AT_ONCE:
+            yield keys, texts
+            keys, texts, held = [], [], 0
+    if keys:
+        yield keys, texts
+
+
 def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -221,8 +239,8 @@ def _write(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterato
     def flush() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((part, shard, base, held, len(docs), pack(docs, first)), _SHARDS)], schema=_SHARDS)
 
-    for b in batches:
-        for i, own in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist())):
+    for keys, texts in _gathered(batches):
+        for i, own in zip(keys, enc.encode_all(texts)):
             ids = np.frombuffer(own + end, "<u4")
             docs.append((NO_ID if i is None else i, ids))
             held += len(ids)

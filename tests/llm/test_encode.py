@@ -64,3 +64,29 @@ def test_shards_are_read_in_one_expansion(monkeypatch):
     sizes = [len(x) for _, x in docs]
     assert got.column(2).to_pylist() == [7 + sum(sizes[:k]) for k in range(200)] and got.column(3).to_pylist() == sizes
     assert got.column(4).to_pylist() == [zlib.crc32(x) for _, x in docs] and len(made) < 50
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_a_piece_that_words_share_is_encoded_once(name):
+    """First words, and words that differ by their signs, bring no piece twice and don't go through the whole tokenizer."""
+    enc = encode.Encoder(public_tokenizers.path(name))
+    texts = ["So, so. (so) so!\nSo so", "déjà, so? déjà.\nSo", "So"]
+    want = [encode._packed(e.ids) for e in enc.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    asked, light = [], enc.light
+
+    class Asked:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(x for t in texts for x in t.split(" "))
+            return light.encode_batch_fast(texts, **more)
+
+    enc.light, enc.whole = Asked(), None
+    assert enc.encode_all(texts) == want and asked and len(asked) == len(set(asked))
+
+
+def test_small_batches_are_encoded_together(monkeypatch):
+    """Batches are gathered to AT_ONCE bytes, in order and with none left out."""
+    rows = [[(1, "a" * 50), (2, None)], [], [(3, "b")], [(None, "c" * 200)], [(5, "d")]]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in b], pa.int64()), pa.array([t for _, t in b], pa.string())], names=["id", "text"]) for b in rows]
+    monkeypatch.setattr(token_shards, "AT_ONCE", 200)
+    got = [list(zip(*x)) for x in token_shards._gathered(iter(batches))]
+    assert got == [[r for b in rows[:4] for r in b], rows[4]]
