@@ -91,3 +91,20 @@ def test_rounds_leave_only_their_edges(spark):
     assert edges == 1  # the last round's open edges
     found = density.neighbours(rows, {"all": 400}, 3, "euclidean")
     assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") >= 2
+
+
+def test_later_cells_list_only_what_is_near_enough(spark, monkeypatch):
+    """All rows in every cell give the true neighbours, but the lists that are shuffled are not as long as cells times k."""
+    x = np.random.default_rng(5).normal(size=(600, 3)).astype("float32")
+    rows = spark.createDataFrame([(f"r{i:03}", "all", v.tolist()) for i, v in enumerate(x)], "_key string, _group string, _v array<float>")
+    kept, keep = [], Shelf.keep
+    monkeypatch.setattr(Shelf, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    monkeypatch.setattr(density, "BLOCK", 20)
+    found = density.neighbours(rows, {"all": 600}, 5, "euclidean", probes=1000).toPandas()
+    d = np.linalg.norm(x[:, None].astype(float) - x[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    want = {(f"r{i:03}", f"r{j:03}") for i, row in enumerate(d) for j in row.argsort()[:5]}
+    assert set(zip(found["a"], found["n"])) == want and len(found) == len(want)
+    lists = [t for t in kept if t.columns == ["_group", "a", "n", "d"]]
+    assert len(lists) == 2 and sum(t.agg(F.sum(F.size("n"))).first()[0] for t in lists) < 0.6 * 600 * 5 * len(density.pivots_of(rows, {"all": 600}, "euclidean")["all"])
+    assert dict(lists[0].dtypes)["d"] == "array<double>" and [t for t in kept if "_cells" in t.columns][0].schema["_v"].dataType.elementType.simpleString() == "float"
